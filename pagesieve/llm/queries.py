@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import BLANKS, HOST
+from pagesieve.llm.body import page_bodies, scored_nodes
 from pagesieve.llm.lines import own_text, repeated_lines
 from pagesieve.llm.quality import not_prose, page_figures, quality
 from pagesieve.llm.spam import flag_spam
@@ -65,3 +66,19 @@ def p3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of cc_text that are keyword-stuffed, link lists or product tags."""
     return flag_spam(page_figures(table(spark, sf_dir, "cc_text"))).where("is_spam").select("url").distinct()
+
+
+def _page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, sf_dir, t) for t in ("textnodes", "inference_test", "goldlabels"))
+
+
+@registry.add()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of textnodes that do not belong to their page's body."""
+    return scored_nodes(*_page_tables(spark, sf_dir)).where("NOT is_body").select("url", "node_id")
+
+
+@registry.add()
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's body."""
+    return page_bodies(*_page_tables(spark, sf_dir))
