@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import BLANKS, HOST
 from pagesieve.llm.body import page_bodies, scored_nodes
+from pagesieve.llm.charset import garbled
 from pagesieve.llm.lines import own_text, repeated_lines
 from pagesieve.llm.quality import not_prose, page_figures, quality
 from pagesieve.llm.spam import flag_spam
@@ -82,3 +83,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's body."""
     return page_bodies(*_page_tables(spark, sf_dir))
+
+
+def _text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "textnodes").select(
+        F.lit("textnodes").alias("field"), F.col("Url").alias("url"), F.col("TextNodeId").alias("node_id"), F.col("Text").alias("text")
+    )
+    pages = table(spark, sf_dir, "cc_text").select(F.lit("cc_text").alias("field"), "url", F.lit(-1).alias("node_id"), "text")
+    return nodes.unionByName(pages)
+
+
+@registry.add()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of textnodes and cc_text with text decoded with a wrong charset."""
+    return garbled(_text_records(spark, sf_dir)).select("table_name", "url", "node_id").distinct()
+
+
+@registry.add()
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restored text of each of these records."""
+    return garbled(_text_records(spark, sf_dir)).distinct()
