@@ -1,0 +1,29 @@
+"""Connected components of a graph given as edges, by shrinking labels with pointer jumps, all in tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagesieve.session import stage
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges (a, b); the component is its smallest node.
+
+    Each round takes the least label around a node and then the label of that label, so rounds grow with the
+    logarithm of the longest path. Self-edges and repeated edges do no harm; null ends are dropped.
+    """
+    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    both = stage(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
+        hooked = labels.join(near, labels["node"] == near["a"], "left").select("node", "component", F.least("component", F.coalesce("least", "component")).alias("new"))
+        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
+        hooked = hooked.join(jump, hooked["new"] == jump["at"], "left")
+        after = stage(hooked.select("node", F.least("new", F.coalesce("further", "new")).alias("component"), "component", "new").toDF("node", "component", "old", "hooked"), "labels")
+        changed = after.where("component <> old").limit(1).count()
+        labels = after.select("node", "component")
+        if not changed:
+            return labels

@@ -10,6 +10,7 @@ from pagesieve.llm.body import page_bodies, scored_nodes
 from pagesieve.llm.charset import garbled
 from pagesieve.llm.lines import own_text, repeated_lines
 from pagesieve.llm.quality import not_prose, page_figures, quality
+from pagesieve.llm.residue import residue_documents, without_residue
 from pagesieve.llm.spam import flag_spam
 from pagesieve.plans.registry import Registry
 from pagesieve.session import table
@@ -103,3 +104,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The restored text of each of these records."""
     return garbled(_text_records(spark, sf_dir)).distinct()
+
+
+@registry.add()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are template residue, filler, error pages or script notices."""
+    return residue_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+@registry.add()
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without the residue ones."""
+    return without_residue(table(spark, sf_dir, "documents"))
