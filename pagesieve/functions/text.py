@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Whitespace of Unicode but for the line feed, as the inside of a character class.
 BLANKS = "\\t\\x0b\\f\\r\\x1c-\\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of blanks other than a single space, which needs no folding.
+RAGGED = f"(?: [{BLANKS}]|[{BLANKS.replace('\\x1f ', '\\x1f')}])[{BLANKS}]*"
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 STRIP_SET = "\r\n\t\xa0 "
 
@@ -23,5 +25,5 @@ def stripped(text: Column) -> Column:
 
 def folded_lines(text: Column) -> Column:
     """The lines of a text as they are compared: lower case, runs of digits as one, runs of blanks as one, trimmed."""
-    folded = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), f"[{BLANKS}]+", " ")
+    folded = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), RAGGED, " ")
     return F.transform(F.split(folded, "\n", -1), lambda x: F.btrim(x, F.lit(" ")))
