@@ -37,14 +37,14 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select("url", site_of(F.col("url")).alias("site"), "text").where("url IS NOT NULL AND text IS NOT NULL")
 
 
-def _letters(line: Column) -> Column:
-    return F.length(F.regexp_replace(line, "[^\\p{L}]+", ""))
+def _long_enough(line: Column, rule: Rule) -> Column:
+    return line.rlike(f"(?:\\p{{L}}\\P{{L}}*){{{rule.min_letters}}}")
 
 
 def _exploded(pages: DataFrame, rule: Rule) -> DataFrame:
     """(u, s, k, j, line_no): hashes of url and site, two hashes of site and line, for each line that can count."""
     lines = _keyed(pages).select("url", "site", F.posexplode(folded_lines(F.col("text"))).alias("at", "line"))
-    lines = lines.where((F.length("line") >= rule.min_letters) & (_letters(F.col("line")) >= rule.min_letters))
+    lines = lines.where((F.length("line") >= rule.min_letters) & _long_enough(F.col("line"), rule))
     return lines.select(
         "url",
         "site",
@@ -130,7 +130,7 @@ def own_text(pages: DataFrame, rule: Rule = Rule(), frequent: DataFrame | None =
         sites = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(sites, ["_site", "_salt"], "left")
     folded = folded_lines(F.col(text))
-    keys = F.transform(folded, lambda x: F.when(_letters(x) >= rule.min_letters, F.xxhash64("_site", x)))
+    keys = F.transform(folded, lambda x: F.xxhash64("_site", x))
     zipped = F.arrays_zip(F.split(F.col(text), "\n", -1).alias("line"), keys.alias("k"))
-    kept = F.filter(zipped, lambda x: F.col("_ks").isNull() | x["k"].isNull() | ~F.array_contains("_ks", x["k"]))
+    kept = F.filter(zipped, lambda x: F.col("_ks").isNull() | ~F.array_contains("_ks", x["k"]))
     return joined.withColumn("own", F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).drop("_site", "_ks", "_salt")
