@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagesieve.functions.text import BLANKS, HOST
 from pagesieve.llm.body import page_bodies, scored_nodes
 from pagesieve.llm.charset import garbled
+from pagesieve.llm.leaks import leaked
 from pagesieve.llm.lines import own_text, repeated_lines
 from pagesieve.llm.quality import not_prose, page_figures, quality
 from pagesieve.llm.residue import residue_documents, without_residue
@@ -116,3 +117,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without the residue ones."""
     return without_residue(table(spark, sf_dir, "documents"))
+
+
+@registry.add()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of test items, with the items."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).distinct()
