@@ -10,9 +10,11 @@ from pagesieve.llm.body import page_bodies, scored_nodes
 from pagesieve.llm.charset import garbled
 from pagesieve.llm.leaks import leaked
 from pagesieve.llm.lines import own_text, repeated_lines
+from pagesieve.llm.mixing import mix, token_counts
 from pagesieve.llm.quality import not_prose, page_figures, quality
 from pagesieve.llm.residue import residue_documents, without_residue
 from pagesieve.llm.spam import flag_spam
+from pagesieve.llm.splitting import pieces
 from pagesieve.plans.registry import Registry
 from pagesieve.session import table
 
@@ -123,3 +125,36 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of test items, with the items."""
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).distinct()
+
+
+@registry.add(
+    """SELECT DISTINCT feature_id FROM (
+      SELECT feature_id, len([x for x in NodeIds if x <> 0]) AS n,
+        list_sum([CASE WHEN NodeIds[i] <> 0 THEN len([y for y in TokenId[i] if y <> 1]) ELSE 0 END for i in range(1, len(NodeIds) + 1)]) AS t
+      FROM page_features) WHERE n > 384 OR t > 4096"""
+)
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of page_features over 384 nodes or 4,096 tokens, from the pieces they are cut into."""
+    return pieces(table(spark, sf_dir, "page_features")).where("oversized").select("feature_id").distinct()
+
+
+@registry.add()
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of page_features in pieces within both limits."""
+    return pieces(table(spark, sf_dir, "page_features"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+@registry.add()
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed records: each document with the times it stands in the mix."""
+    return _mixed(spark, sf_dir)[0]
+
+
+@registry.add()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reaches."""
+    return _mixed(spark, sf_dir)[1]
