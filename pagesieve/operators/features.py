@@ -27,11 +27,11 @@ def chunk_number(page: list[str], order: list[Column], size: int = MAX_NODES) ->
 
 
 def chunk_rows(nodes: DataFrame, page: str, node: str, tokens: str | None = None, labels: str | None = None, size: int = MAX_NODES) -> DataFrame:
-    """(page, chunk, NodeIds, Url, TokenId?, Labels?): parallel arrays of each slice in document order."""
+    """(chunk, NodeIds, Url, TokenId?, Labels?): parallel arrays of each slice of a page in document order."""
     fields = [c for c in (node, tokens, labels) if c]
     numbered = nodes.withColumn("chunk", chunk_number([page], [F.desc(node)], size))
     rows = numbered.groupBy(page, "chunk").agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias("rows"))
-    out = [F.col(page), "chunk", F.transform("rows", lambda x: x[node]).alias("NodeIds"), F.array_repeat(page, F.size("rows")).alias("Url")]
+    out = ["chunk", F.transform("rows", lambda x: x[node]).alias("NodeIds"), F.array_repeat(page, F.size("rows")).alias("Url")]
     if tokens:
         out.append(F.transform("rows", lambda x: x[tokens]).alias("TokenId"))
     if labels:

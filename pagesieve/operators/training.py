@@ -27,7 +27,8 @@ def shard(order: list[Column], workers: int, partition: list[str] | None = None)
 def truncated(rows: DataFrame, file: str, line: str, multiple: int = 1) -> DataFrame:
     """rows of each file up to the largest multiple."""
     w = Window.partitionBy(file)
-    return rows.where(F.row_number().over(w.orderBy(line)) <= F.count(F.lit(1)).over(w) - F.count(F.lit(1)).over(w) % multiple)
+    placed = rows.withColumn("_place", F.row_number().over(w.orderBy(line))).withColumn("_all", F.count(F.lit(1)).over(w))
+    return placed.where(F.col("_place") <= F.col("_all") - F.col("_all") % multiple).drop("_place", "_all")
 
 
 def class_weights(spark: SparkSession, overrides: dict[int, tuple] | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def html_pages(pages: DataFrame, wanted_language: str | None = "en") -> DataFram
 def build(html: DataFrame, tokenizer: Tokenizer = codepoint_tokenizer) -> tuple[DataFrame, DataFrame]:
     """(feature chunks, text nodes) of (url, html)."""
     found = candidates(parse_pages(html)).select("url", "node_id", "text")
-    chunks = chunk_rows(tokenized(found, tokenizer), "url", "node_id", "TokenId").drop("url")
+    chunks = chunk_rows(tokenized(found, tokenizer), "url", "node_id", "TokenId").drop("chunk")
     texts = found.where(F.length("text") > 0).select(F.col("url").alias("Url"), F.col("node_id").alias("TextNodeId"), F.col("text").alias("Text"))
     return chunks, texts
 
