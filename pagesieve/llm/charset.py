@@ -195,12 +195,15 @@ def implausible(unit: str) -> float:
     return 0.0
 
 
+_ASCII = {chr(i): _kind(chr(i)) for i in range(0x80)}
+
+
 def cells(text: str) -> list[tuple[str, int, int]]:
-    """(cell, start, end) of every run of non-ASCII characters."""
-    out, n = [], len(text)
+    """(cell, start, end) of every run of non-ASCII characters; what stands beside a run is ASCII or the text's end."""
+    out, text_end = [], text + " "
     for m in _run.finditer(text):
         a, b = m.span()
-        out.append((("s" if a == 0 else _kind(text[a - 1])) + m.group() + ("s" if b == n else _kind(text[b])), a, b))
+        out.append((_ASCII[text_end[a - 1]] + m.group() + _ASCII[text_end[b]], a, b))
     return out
 
 
@@ -335,12 +338,21 @@ _KEPT = math.log(0.1)
 _MIXES = (0.1, 0.5, 0.9)
 
 
-def restore(text: str, share: list[float], logs) -> tuple[int, float, str] | None:
-    """(state, posterior, restored text) of a garbled record, None for a sound one. logs gives a cell's log chances by state."""
+def restore(text: str, share, logs) -> tuple[int, float, str] | None:
+    """(state, posterior, restored text) of a garbled record, None for a sound one. logs gives a cell's log chances
+    by state and what each state gains over a sound reading; share gives the chain shares when they are needed."""
     found = cells(text)
-    if not found:
+    gains: dict[int, float] = {}
+    for c, n in Counter(c for c, _, _ in found).items():
+        for state, gain in logs(c)[1]:
+            gains[state] = gains.get(state, 0.0) + gain * min(n, ALIKE)
+    if not gains:
+        return None
+    share = share()
+    # no mix of lines scores more than the gains of its cells together
+    if all(math.log(share[s]) + g < math.log(share[SOUND]) for s, g in gains.items()):
         return None
-    known = [(c, a, b, logs(c)) for c, a, b in found]
+    known = [(c, a, b, logs(c)[0]) for c, a, b in found]
     if any(LOST in g for *_, g in known):
         best, sure = LOST, 1.0
     else:
@@ -385,20 +397,22 @@ def restore(text: str, share: list[float], logs) -> tuple[int, float, str] | Non
 
 def _mark(chance: Chances, overall: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, dict[int, float]] = {}
+        memo: dict[str, tuple[dict[int, float], list[tuple[int, float]]]] = {}
 
-        def logs(cell: str) -> dict[int, float]:
+        def logs(cell: str) -> tuple[dict[int, float], list[tuple[int, float]]]:
             got = memo.get(cell)
             if got is None:
                 if len(memo) > 200_000:
                     memo.clear()
-                got = memo[cell] = _logs(cell, chance)
+                by = _logs(cell, chance)
+                sound = by.get(SOUND, -math.inf)
+                got = memo[cell] = by, [(s, x - sound) for s, x in by.items() if x > sound]
             return got
 
         for batch in batches:
-            rows = []
-            for f, u, i, t, share in zip(*(batch.column(c).to_pylist() for c in ("field", "url", "node_id", "text", "share")), strict=True):
-                got = restore(t, share or overall, logs)
+            rows, shares = [], batch.column("share")
+            for k, (f, u, i, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("field", "url", "node_id", "text")), strict=True)):
+                got = restore(t, lambda k=k, shares=shares: shares[k].as_py() or overall, logs)
                 if got is not None:
                     state, sure, text = got
                     chain = "bytes lost" if state == LOST else "{1} read as {0}".format(*CHAINS[state - 1]) + (" twice" if CHAINS[state - 1][2] > 1 else "")
