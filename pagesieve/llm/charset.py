@@ -334,6 +334,8 @@ def fit(records: DataFrame) -> tuple[Chances, DataFrame, list[float]]:
 
 #: Log chance that a garbled line keeps a cell that its chain can't have made.
 _KEPT = math.log(0.1)
+#: Log gain over a sound reading by which a UTF-8 chain plainly explains a cell by itself.
+_PLAIN = 5.0
 #: Shares of garbled lines that a garbled record may have.
 _MIXES = (0.1, 0.5, 0.9)
 
@@ -384,11 +386,14 @@ def restore(text: str, share, logs) -> tuple[int, float, str] | None:
             return None
         top = score[best]
         sure = 1 - math.exp(score[SOUND] - top) / sum(math.exp(x - top) for x in score.values())
-    # what the bytes lost can't be had, but other garbled cells of the record may
+    # bytes lost can't be had, but a record with some may have others that a UTF-8 chain plainly explains
     out, at = [], 0
     for c, a, b, g in known:
-        state = best if best in g and best != LOST else max(g, key=g.get)
-        if state not in (SOUND, LOST) and g[state] > g.get(SOUND, -math.inf):
+        if best != LOST:
+            state = best if g.get(best, -math.inf) > g[SOUND] else SOUND
+        else:
+            state = max((s for s in g if s not in (SOUND, LOST) and CHAINS[s - 1][1] == "utf-8" and g[s] > g[SOUND] + _PLAIN), key=g.get, default=SOUND)
+        if state != SOUND:
             run, blank = undo_cell(c, CHAINS[state - 1])
             out += [text[at:a], run]
             at = b + blank
