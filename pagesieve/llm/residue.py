@@ -54,12 +54,21 @@ SIGNS = (
     r"|checking (?:your|the|that your|if the|if your) (?:browser|connection|site)|verify(?:ing)? (?:that )?you are (?:a )?human|verifying your browser|are you a robot|ddos protection|enable cookies and reload"
     r"|untitled document|enter text here|add a subtitle|your (?:title|text|content) here|click to (?:edit|add)|insert (?:text|title|image) here|sample (?:text|page|content)\b|placeholder text|(?:title|subtitle|text|content|headline|caption|image|name) (?:goes )?here\b|replace this (?:text|title|image)|texte ici|text hier eingeben|escriba aquí|texto aqui"
 )
+# One of these stands in whatever SIGNS match, besides a number from 400 to 599; they spare most lines the match.
+HINTS = (
+    "page", "seite", "página", "страница", "forbidden", "denied", "refus", "verweigert", "denegado", "negado", "доступ", "gateway", "unavailable", "maintenance",
+    "internal server", "serverfehler", "erreur interne", "fatal error", "stack trace", "traceback", "uncaught", "undefined", "sqlstate", "database", "establishing",
+    "connection", "session", "sitzung", "sesión", "sessão", "сеанс", "object object", "null", "nan", "none", "error code", "something went", "valid answer",
+    "permission to", "the address", "javascript", "script", "checking", "verify", "robot", "ddos", "enable cookies", "untitled", "enter text", "subtitle", " here",
+    "click to", "insert ", "sample ", "placeholder", "texte ici", "eingeben", "escriba", "texto aqui", "replace this", "error (", "error 4", "error 5",
+)
 # Lines that may stand beside residue and say nothing by themselves.
 IDLE = re.compile(r"^\W*(?:loading|please wait|one moment|just a moment|wait|chargement|laden|bitte warten|cargando|carregando|загрузка|veuillez patienter|aguarde)\W*$", re.I)
 TRACE = re.compile(r"^\W*(?:#\d+\s|at\s+[\w$.<>]+\s*\(|file\s+\S+.*\(\S+:\d+\)|\S+\.(?:php|js|py|rb|java|inc)\b.{0,30}\d)", re.I)
 CHROME = re.compile(r"[|·›»/–]\s|©|\bcopyright\b|all rights reserved", re.I)
 
 _field, _signs = re.compile(FIELD), re.compile(SIGNS, re.I)
+_opens, _status = re.compile(r"[{%*\[<_@|~]"), re.compile(r"[45]\d\d")
 _quoted = re.compile(r"[“\"«„‘'][^”\"»“’']{1,60}[”\"»“’']")
 _unit = re.compile(r"(?<=[.!?…])[”\"»]?\s+")
 _word = re.compile(r"[^\W\d_]+")
@@ -78,8 +87,11 @@ def filler(words: list[str], least: int = 3) -> bool:
 
 def is_residue(unit: str) -> bool:
     """Whether a line or sentence is residue by a trusted sign. Signs that are quoted are talked about."""
-    if _field.search(unit):
+    if _opens.search(unit) and _field.search(unit):
         return True
+    low = unit.lower()
+    if not _status.search(unit) and not any(h in low for h in HINTS):
+        return False
     return bool(_signs.search(unit)) and bool(_signs.search(_quoted.sub(" ", unit)))
 
 
