@@ -198,6 +198,52 @@ def numbered(html: str, wrap_all: bool = False) -> list[dict]:
     return rows
 
 
+def annotated(html: str) -> list[dict]:
+    """Node rows of a page that carries its ids and text markers already, in document order; nothing is renumbered.
+
+    An element without an id is no node; the parent is the nearest ancestor with one, and a leaf is its own last descendant.
+    """
+    rows: list[dict] = []
+    texts: list[str] = []
+    # a frame is [element, row or None, next child, nearest row with an id, first own string]
+    stack: list[list] = []
+
+    def enter(e: Element, above: int) -> None:
+        row = None
+        if e.attrs.get(ID, "").isdigit():
+            row, parent = len(rows), rows[above] if above >= 0 else None
+            inner = parent["block_id"] if parent else None
+            rows.append(
+                {"node_id": int(e.attrs[ID]), "doc_order": row, "depth": parent["depth"] + 1 if parent else 0, "parent_id": parent["node_id"] if parent else None, "tag": e.tag,
+                 "attrs": e.attrs, "is_text": MARKER in e.attrs and (e.parent is None or e.parent.tag != "noscript"), "own_text": None,
+                 "block_id": int(e.attrs[ID]) if e.tag in BLOCK else inner, "parent_tag": e.parent.tag if e.parent and e.parent.parent else None,
+                 "parent_style": e.parent.attrs.get("style") if e.parent else None, "last_desc_id": int(e.attrs[ID])}
+            )
+        stack.append([e, row, 0, above if row is None else row, len(texts)])
+
+    for top in build(html).children:
+        if isinstance(top, Element):
+            enter(top, -1)
+        while stack:
+            frame = stack[-1]
+            e, row, k, near, first = frame
+            if k < len(e.children):
+                frame[2] += 1
+                child = e.children[k]
+                if isinstance(child, Element):
+                    enter(child, near)
+                elif not child.silent:
+                    texts.append(child.text)
+            else:
+                stack.pop()
+                if row is not None:
+                    rows[row]["own_text"] = "".join(texts[first:])
+                    if stack and stack[-1][3] >= 0:
+                        above = rows[stack[-1][3]]
+                        above["last_desc_id"] = max(above["last_desc_id"], rows[row]["last_desc_id"])
+    return rows
+
+
 def original(html: str) -> str:
     """The page without the markers of an annotated copy: ids and defaults are dropped, wrapped strings unwrapped."""
     out: list[str] = []
@@ -240,16 +286,17 @@ NODE_FIELDS = (
 )
 
 
-def parse_pages(pages: DataFrame, url: str = "url", html: str = "html", wrap_all: bool = False) -> DataFrame:
-    """One row for each numbered node of each page. Pages without a tag, and null pages, have no rows.
+def parse_pages(pages: DataFrame, url: str = "url", html: str = "html", wrap_all: bool = False, ids: str = "assign") -> DataFrame:
+    """One row for each node of each page. Pages without a tag, and null pages, have no rows.
 
-    Filters on the page belong before this call: nothing is pushed down through it.
+    ids is "assign" to number the nodes, or "read" for annotated pages that bring their ids. Filters on the page belong
+    before this call: nothing is pushed down through it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = numbered(h, wrap_all) if h is not None else []
+                rows = [] if h is None else annotated(h) if ids == "read" else numbered(h, wrap_all)
                 if rows:
                     cols = [pa.array([u] * len(rows), pa.string())]
                     for name, kind, _ in NODE_FIELDS:

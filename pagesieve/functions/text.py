@@ -23,7 +23,15 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(STRIP_SET))
 
 
+def _folded(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), RAGGED, " ")
+
+
+def folded_line(line: Column) -> Column:
+    """A line as it is compared: lower case, runs of digits as one, runs of blanks as one, trimmed."""
+    return F.btrim(_folded(line), F.lit(" "))
+
+
 def folded_lines(text: Column) -> Column:
-    """The lines of a text as they are compared: lower case, runs of digits as one, runs of blanks as one, trimmed."""
-    folded = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), RAGGED, " ")
-    return F.transform(F.split(folded, "\n", -1), lambda x: F.btrim(x, F.lit(" ")))
+    """The lines of a text as they are compared."""
+    return F.transform(F.split(_folded(text), "\n", -1), lambda x: F.btrim(x, F.lit(" ")))

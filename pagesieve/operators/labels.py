@@ -42,3 +42,9 @@ def gold_flag(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
     """nodes with is_primary: whether the node itself is listed as Primary."""
     listed = annotations.where("type = 1").select("url", "node_id").distinct().withColumn("_p", F.lit(True))
     return nodes.join(listed, ["url", "node_id"], "left").withColumn("is_primary", F.coalesce("_p", F.lit(False))).drop("_p")
+
+
+def table_annotations(annotations: DataFrame) -> DataFrame:
+    """(url, node_id, kind) of the annotated tables and lists."""
+    kind = F.when(F.col("type") == 5, "Table").when(F.col("type") == 6, "List")
+    return annotations.select("url", "node_id", kind.alias("kind")).where("kind IS NOT NULL").distinct()

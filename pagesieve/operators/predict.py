@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tasks in the order of the scores, the swept thresholds, and the one of each task that is saved.
@@ -47,16 +47,10 @@ def exploded(scores: DataFrame) -> DataFrame:
     return scores.select("url", "node_id", F.explode(named).alias("x")).select("url", "node_id", "x.task", "x.score")
 
 
-def threshold_table(spark: SparkSession) -> DataFrame:
-    """The eight thresholds: a fixed handful of rows."""
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold"))
-
-
-def passing(scores: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+def passing(scores: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(url, node_id, task, threshold) of each score strictly over a threshold, compared as 32-bit floats; node 0, which is
-    also the padding, never passes. A filter on task or threshold above this collapses the sweep."""
-    t = threshold_table(scores.sparkSession) if thresholds is None else thresholds
-    kept = scores.where("node_id <> 0 AND score IS NOT NULL").crossJoin(F.broadcast(t))
+    also the padding, never passes. The handful of thresholds is exploded in place, without a join."""
+    kept = scores.where("node_id <> 0 AND score IS NOT NULL").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     return kept.where(F.col("score").cast("float") > F.col("threshold").cast("float")).select("url", "node_id", "task", "threshold")
 
 

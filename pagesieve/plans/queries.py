@@ -166,7 +166,7 @@ def tensor_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT p, i, floor(p / 2) * exp(-(2.0 * floor(i / 2) / 64) * ln(10000.0)) AS a FROM range(384) t(p), range(64) u(i))"""
 )
 def position_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(384).select(F.col("id").cast("int").alias("p")).crossJoin(spark.range(64).select(F.col("id").cast("int").alias("i")))
+    grid = spark.range(384 * 64).select(F.floor(F.col("id") / 64).cast("int").alias("p"), (F.col("id") % 64).cast("int").alias("i"))
     return grid.select("p", "i", F.round(features.position(F.col("p"), F.col("i"), 64), 6).alias("v"))
 
 
@@ -530,7 +530,7 @@ def offset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     line = F.concat(F.lpad((n.n_nationkey * 977).cast("string"), 10, "0"), F.lit("\n"))
     index = n.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "").alias("x"))
-    return n.crossJoin(F.broadcast(index)).select("n_nationkey", offset_at(F.col("x"), F.col("n_nationkey")).alias("start_byte"))
+    return n.select("n_nationkey", offset_at(F.lit(index.first()[0]), F.col("n_nationkey")).alias("start_byte"))
 
 
 @registry.add("SELECT warc_file, split_part(warc_file, '-', 1) AS entry, regexp_replace(warc_file, '\\.[^.]*$', '') AS bare, split_part(warc_file, '.', 1) AS stem, warc_file AS tsv FROM (SELECT DISTINCT warc_file FROM cc_text)")
