@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagesieve.functions.text import folded_lines, site_of
+from pagesieve.functions.text import folded_line, folded_lines, site_of
 from pagesieve.session import broadcast_if_small, rows_and_bytes, stage
 
 #: Copies of the frequent lines in a shuffled join, so that one line's rows fall to as many tasks.
@@ -43,7 +43,9 @@ def _long_enough(line: Column, rule: Rule) -> Column:
 
 def _exploded(pages: DataFrame, rule: Rule) -> DataFrame:
     """(u, s, k, j, line_no): hashes of url and site, two hashes of site and line, for each line that can count."""
-    lines = _keyed(pages).select("url", "site", F.posexplode(folded_lines(F.col("text"))).alias("at", "line"))
+    raw = F.transform(F.split("text", "\n", -1), F.length)
+    zipped = F.arrays_zip(folded_lines(F.col("text")).alias("line"), raw.alias("size"))
+    lines = _keyed(pages).select("url", "site", F.posexplode(zipped).alias("at", "x")).select("url", "site", "at", "x.line", "x.size")
     lines = lines.where((F.length("line") >= rule.min_letters) & _long_enough(F.col("line"), rule))
     return lines.select(
         "url",
@@ -51,13 +53,14 @@ def _exploded(pages: DataFrame, rule: Rule) -> DataFrame:
         (F.col("at") + 1).alias("line_no"),
         F.xxhash64("site", "line").alias("k"),
         F.xxhash64("line", "site", F.lit(1)).alias("j"),
+        "size",
     )
 
 
 def frequent_lines(pages: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(site, k, j, urls, site_urls): the high-support nodes, staged."""
-    lines = _exploded(pages, rule).select("site", "k", "j", F.xxhash64("url").alias("u"))
-    nodes = lines.groupBy("site", "k", "j").agg(F.countDistinct("u").alias("urls")).where(F.col("urls") >= rule.min_urls)
+    """(site, k, j, urls, size, site_urls): the high-support nodes with the length of their longest copy, staged."""
+    lines = _exploded(pages, rule).select("site", "k", "j", F.xxhash64("url").alias("u"), "size")
+    nodes = lines.groupBy("site", "k", "j").agg(F.countDistinct("u").alias("urls"), F.max("size").alias("size")).where(F.col("urls") >= rule.min_urls)
     sites = _keyed(pages).groupBy("site").agg(F.countDistinct(F.xxhash64("url")).alias("site_urls"))
     kept = nodes.join(sites, "site").where(F.col("urls") >= rule.min_share * F.col("site_urls"))
     return stage(kept, "lines")
@@ -102,7 +105,7 @@ def repeated_lines(pages: DataFrame, rule: Rule = Rule(), frequent: DataFrame |
     """
     frequent = frequent_lines(pages, rule) if frequent is None else frequent
     n, size = rows_and_bytes(frequent, "site")
-    hits = _salted_join(_exploded(pages, rule), frequent.drop("site"), ["k", "j"], F.col("url"), size + 32 * n)
+    hits = _salted_join(_exploded(pages, rule).drop("size"), frequent.drop("site", "size"), ["k", "j"], F.col("url"), size + 32 * n)
     hits = stage(hits.groupBy("url", "site", "line_no").agg(*(F.first(c).alias(c) for c in ("k", "j", "urls", "site_urls"))), "hits")
     before = Window.partitionBy("url").orderBy("line_no")
     pairs = hits.select("site", "k", "j", "site_urls", "url", "line_no", *(F.lag(c).over(before).alias(f"{c}0") for c in ("k", "j", "line_no")))
@@ -118,9 +121,10 @@ def repeated_lines(pages: DataFrame, rule: Rule = Rule(), frequent: DataFrame |
 
 
 def own_text(pages: DataFrame, rule: Rule = Rule(), frequent: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """pages with column own: the text without its repeated lines, null for null text. No shuffle of texts
+    """(url, text, own): each page and its text without its repeated lines, null for null text. No shuffle of texts
     while the frequent lines are small enough to send along; else the site's lines are joined, salted."""
-    frequent = frequent_lines(pages.select("url", F.col(text).alias("text")), rule) if frequent is None else frequent
+    pages = pages.select("url", F.col(text).alias("text"))
+    frequent = frequent_lines(pages, rule) if frequent is None else frequent
     n, size = rows_and_bytes(frequent, "site")
     sites = frequent.groupBy(F.col("site").alias("_site")).agg(F.collect_set("k").alias("_ks"))
     keyed = pages.withColumn("_site", site_of(F.col("url")))
@@ -129,8 +133,10 @@ def own_text(pages: DataFrame, rule: Rule = Rule(), frequent: DataFrame | None =
     else:
         sites = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(sites, ["_site", "_salt"], "left")
-    folded = folded_lines(F.col(text))
-    keys = F.transform(folded, lambda x: F.xxhash64("_site", x))
-    zipped = F.arrays_zip(F.split(F.col(text), "\n", -1).alias("line"), keys.alias("k"))
-    kept = F.filter(zipped, lambda x: F.col("_ks").isNull() | ~F.array_contains("_ks", x["k"]))
+    # no line longer than the longest copy of a frequent one can be frequent, so only the others are folded
+    longest = frequent.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    lines = F.split("text", "\n", -1)
+    keys = F.transform(lines, lambda x: F.when(F.length(x) <= longest, F.xxhash64("_site", folded_line(x))))
+    zipped = F.arrays_zip(lines.alias("line"), keys.alias("k"))
+    kept = F.filter(zipped, lambda x: F.col("_ks").isNull() | x["k"].isNull() | ~F.array_contains("_ks", x["k"]))
     return joined.withColumn("own", F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).drop("_site", "_ks", "_salt")
