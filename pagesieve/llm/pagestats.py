@@ -37,9 +37,9 @@ _url = re.compile(r"(?:https?://|www\.)\S+")
 
 def language(words: list[str], text: str) -> str:
     """The language whose common words occur most; Cyrillic script is Russian; `xx` without any."""
-    if len(_cyr.findall(text)) * 3 > len(text):
+    if _cyr.search(text) and len(_cyr.findall(text)) * 3 > len(text):
         return "ru"
-    seen = Counter(w for w in words if w in ALL_COMMON)
+    seen = Counter(filter(ALL_COMMON.__contains__, words))
     best, n = "xx", 0
     for k in LANGUAGES:
         s = sum(c for w, c in seen.items() if w in _sets[k])
@@ -49,17 +49,20 @@ def language(words: list[str], text: str) -> str:
 
 
 class Line:
-    __slots__ = ("text", "n", "tokens", "words", "common", "wordlike", "ends", "closes")
+    """One line with its words in small letters and the counts that tell sentences from lists, tables and junk."""
+
+    __slots__ = ("text", "n", "words", "common", "mostly_words", "ends", "closes")
 
     def __init__(self, text: str) -> None:
-        self.text, self.n = text, len(text.strip())
-        text = _slashed.sub("-", text)
-        self.tokens = text.split()
-        self.words = [w.lower() for w in _word.findall(text)]
-        self.common = sum(w in ALL_COMMON for w in self.words)
-        self.wordlike = sum(1 for t in self.tokens if sum(map(str.isalpha, t)) * 5 >= len(t) * 3 and not any(c.isdigit() for c in t) and t[0] != "#")
-        self.ends = len(_end.findall(text))
-        self.closes = bool(_closes.search(text))
+        bare = text.strip()
+        self.text, self.n = text, len(bare)
+        low = (_slashed.sub("-", bare) if "/" in bare else bare).lower()
+        self.words = _word.findall(low)
+        self.common = sum(map(ALL_COMMON.__contains__, self.words))
+        # letters of words make up most of what is no blank, and it is no row of hash tags
+        self.mostly_words = sum(map(len, self.words)) * 100 >= 72 * (self.n - bare.count(" ")) and bare.count("#") * 4 <= len(self.words)
+        self.ends = len(_end.findall(bare))
+        self.closes = self.ends > 0 and bool(_closes.search(bare))
 
 
 def prose_flags(lines: list[Line]) -> list[bool]:
@@ -67,7 +70,7 @@ def prose_flags(lines: list[Line]) -> list[bool]:
     or sentence ends. Neighbours count so that prose with hard line breaks stays prose."""
     out = []
     for i, x in enumerate(lines):
-        if not x.tokens:
+        if not x.mostly_words or not x.words:
             out.append(False)
             continue
         around = lines[max(0, i - 1) : i + 2]
@@ -75,37 +78,36 @@ def prose_flags(lines: list[Line]) -> list[bool]:
         own = x.common / len(x.words) if x.words else 0.0
         near = sum(y.common for y in around) / words if words else 0.0
         ends = sum(y.ends for y in around)
-        like = x.wordlike / len(x.tokens)
         sentence = x.closes and len(x.words) >= 3 or x.ends and own >= 0.05
         flows = own >= 0.08 and near >= 0.12 and (ends or len(x.words) >= 3) or ends and near >= 0.04 and len(x.words) >= 5
-        out.append(like >= 0.6 and bool(sentence or flows))
+        out.append(bool(sentence or flows))
     return out
 
 
 def _link_line(line: str) -> bool:
-    found = _url.findall(line)
+    found = _url.findall(line) if "://" in line or "www." in line else None
     return bool(found) and sum(map(len, found)) * 10 >= len(line.strip()) * 3
 
 
-def spam_share(text: str, words: list[str]) -> tuple[float, float]:
+def spam_share(text: str, words: list[str], counts: Counter) -> tuple[float, float]:
     """(share of characters in stuffed units and link lines, share in link lines alone).
 
     A unit is a line or sentence. It is stuffed when the page's key word, alone or inside a compound or hash tag,
     makes up a quarter of its words, or comes twice and makes an eighth. A line is a link line when addresses
     take three tenths of it. The key word may be outnumbered by a modifier, so the three most frequent are tried.
     """
-    total = len(text) or 1
+    total, text_low = len(text) or 1, text.lower()
     rest, linked = [], 0
-    for line in text.split("\n"):
+    for line in text_low.split("\n"):
         if _link_line(line):
             linked += len(line) + 1
         elif line.strip():
-            rest += [(len(u) + 1, u.lower().split()) for u in _unit.split(line) if u.strip()]
-    counts = Counter(w for w in words if len(w) >= 3 and w not in ALL_COMMON)
+            rest += [(len(u) + 1, u) for u in _unit.split(line) if u.strip()]
     best = 0
     for key, n in counts.most_common(3):
-        if n >= 4:
-            hits = [(size, sum(key in w for w in ws), len(ws)) for size, ws in rest]
+        # a key word as rare as this can't fill half of the units
+        if n >= 4 and text_low.count(key) * 40 >= len(words):
+            hits = [(size, unit.count(key), unit.count(" ") + 1) for size, unit in rest if key in unit]
             best = max(best, sum(size for size, h, k in hits if h * 4 >= k or h >= 2 and h * 8 >= k))
     return min(1.0, (linked + best) / total), min(1.0, linked / total)
 
@@ -127,7 +129,7 @@ def figures(text: str) -> dict:
     counts = Counter(w for w in words if w not in ALL_COMMON and len(w) >= 3)
     content = sum(counts.values())
     entropy = -sum(c / content * math.log(c / content) for c in counts.values()) / math.log(content) if content > 1 else 1.0
-    spam, links = spam_share(text, words)
+    spam, links = spam_share(text, words, counts)
     return {
         "language": language(words, text),
         "n_words": float(n),
