@@ -46,6 +46,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> bool:
+    """Delete the tables that this application has staged; no frame that reads one may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pagesieve-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def rows_and_bytes(df: DataFrame, *columns: str) -> tuple[int, int]:
     """Rows of df and the bytes of the named string or binary columns (16 bytes a row for the rest)."""
     total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
