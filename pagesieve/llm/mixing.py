@@ -73,9 +73,9 @@ def mix(counted: DataFrame, targets: DataFrame, total_share: float = 0.5, seed:
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
     sizes = sums.groupBy("source").agg(F.sum("sum").alias("size"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    plan = goal.join(sizes, "source", "left").crossJoin(total).na.fill(0, ["size"])
-    plan = plan.withColumn("budget", F.col("target_share") * total_share * F.col("total"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * total_share
+    plan = goal.join(sizes, "source", "left").na.fill(0, ["size"])
+    plan = plan.withColumn("budget", F.col("target_share") * F.lit(float(total)))
     plan = plan.withColumn("epochs", F.when(F.col("size") > 0, F.least(F.floor(F.col("budget") / F.col("size")), F.col("max_repeats"))).otherwise(0).cast("long"))
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("size")).otherwise(0.0)
     plan = stage(plan.withColumn("rest", rest), "plan")
@@ -88,11 +88,11 @@ def mix(counted: DataFrame, targets: DataFrame, total_share: float = 0.5, seed:
     records = stage(records, "mix")
     reached = records.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"))
     shares = plan.join(reached, "source", "left").na.fill(0, ["tokens", "documents"])
-    mixed = shares.select(F.sum("tokens").alias("mixed"))
-    shares = shares.crossJoin(mixed).select(
+    mixed = reached.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    shares = shares.select(
         "source", "target_share", "max_repeats", "documents", F.col("tokens"), F.col("budget"),
-        F.try_divide(F.col("tokens"), F.lit(total_share) * F.col("total")).alias("share_of_total"),
-        F.try_divide("tokens", "mixed").alias("share_of_mix"),
+        F.try_divide(F.col("tokens"), F.lit(float(total))).alias("share_of_total"),
+        F.try_divide(F.col("tokens"), F.lit(float(mixed))).alias("share_of_mix"),
         (F.col("size") * F.col("max_repeats") < F.col("budget")).alias("short"),
     )
     return records, shares

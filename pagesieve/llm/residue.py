@@ -31,7 +31,7 @@ SALTS = 32
 # Unfilled template fields.
 FIELD = (
     r"\{\{[^{}\n]{1,60}\}\}|[#$]?\{[A-Za-z_][\w.]{0,40}\}|<%=?[^%\n]{1,60}%>|%[A-Za-z_][\w.]{1,40}%|%%[\w.]{1,40}%%|\*\|[^|\n]{1,40}\|\*"
-    r"|\[\[[^\[\]\n]{1,60}\]\]|\[[A-Za-z]\w*(?:[._]\w+)*\]|(?<!\w)__[A-Za-z][\w.]{0,40}?__(?!\w)|@@[\w.]{1,40}@@|<[A-Za-z]\w*(?:[._]\w+)*>|\|\|[\w.]{1,40}\|\||~~[\w.]{1,40}~~"
+    r"|\[\[[^\[\]\n]{1,60}\]\]|\[(?!(?:sic|edit|note|citation|audio|video|image|photo|laughter|laughs|applause|music|ed|eds)\])[A-Za-z]\w*(?:[._]\w+)*\]|(?<!\w)__[A-Za-z][\w.]{0,40}?__(?!\w)|@@[\w.]{1,40}@@|<[A-Za-z]\w*(?:[._]\w+)*>|\|\|[\w.]{1,40}\|\||~~[\w.]{1,40}~~"
 )
 # Words of the usual filler text.
 FILLER = frozenset(
