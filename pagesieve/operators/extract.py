@@ -29,7 +29,13 @@ def lower_case(texts: DataFrame) -> DataFrame:
 
 
 def with_missing(texts: DataFrame, textnodes: DataFrame) -> DataFrame:
-    """texts (Url, Text) and a null text for each page of textnodes without one, with ord, the page's place by its first
-    node: pages are reported in the order in which they come first, here by url where rows have no order."""
+    """texts (Url, Text) and a null text for each page of textnodes without one."""
     pages = textnodes.where("Url IS NOT NULL").select("Url").distinct()
     return pages.join(texts.select("Url", "Text"), "Url", "left")
+
+
+def first_seen(texts: DataFrame, textnodes: DataFrame, place: str) -> DataFrame:
+    """texts with first_seen, the least place of each page among textnodes, to order a report by; rows of a frame have no
+    order of their own, so the place is a column."""
+    seen = textnodes.where("Url IS NOT NULL").groupBy("Url").agg(F.min(place).alias("first_seen"))
+    return texts.join(seen, "Url", "left")

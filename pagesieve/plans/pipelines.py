@@ -10,7 +10,6 @@ from pagesieve.functions.dom import parse_pages
 from pagesieve.operators.evaluate import metrics, page_confusion
 from pagesieve.operators.extract import page_texts, predicted_text
 from pagesieve.operators.features import Tokenizer, chunk_rows, codepoint_tokenizer, tokenized
-from pagesieve.operators.labels import with_fallback
 from pagesieve.operators.nodes import candidates
 
 
@@ -32,13 +31,11 @@ def build(html: DataFrame, tokenizer: Tokenizer = codepoint_tokenizer) -> tuple[
 
 
 def all_text(html: DataFrame) -> DataFrame:
-    """(url, text) with every text node taken for Primary, as on pages without annotations."""
-    nodes = parse_pages(html)
-    primary = with_fallback(nodes.select("url", "node_id", F.lit(0).alias("type")).limit(0), nodes).select(
-        F.col("url").alias("Url"), F.col("node_id").alias("TextNodeId"), F.lit("Primary").alias("Task")
-    )
-    texts = candidates(nodes).where("is_text").select(F.col("url").alias("Url"), F.col("node_id").alias("TextNodeId"), F.col("text").alias("Text"))
-    return page_texts(predicted_text(primary, texts)).select(F.col("Url").alias("url"), F.col("Text").alias("text"))
+    """(url, text) with every text node taken for Primary, as on pages without annotations. The fallback makes all text
+    nodes the predictions, so no join is left: one parse, then one ordered aggregate."""
+    found = candidates(parse_pages(html)).where("is_text")
+    texts = found.select(F.col("url").alias("Url"), F.col("node_id").alias("TextNodeId"), F.lit("Primary").alias("Task"), F.col("text").alias("Text"))
+    return page_texts(texts).select(F.col("Url").alias("url"), F.col("Text").alias("text"))
 
 
 def evaluation(predictions: DataFrame, textnodes: DataFrame, gold: DataFrame) -> DataFrame:

@@ -226,6 +226,12 @@ def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.with_missing(extract.page_texts(_joined(spark, sf_dir, "Primary")), table(spark, sf_dir, "textnodes")).select("Url", "Text")
 
 
+@registry.add(PRIMARY_SQL + ' SELECT t.Url AS "Url", t.Text AS "Text", epoch_us(s.first_seen) AS first_seen FROM primary_texts t LEFT JOIN (SELECT Url, min(loaded_at) AS first_seen FROM textnodes WHERE Url IS NOT NULL GROUP BY Url) s USING (Url)')
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted text with the time at which a page was first seen, the order of a report."""
+    return extract.first_seen(extract.page_texts(_joined(spark, sf_dir, "Primary")).select("Url", "Text"), table(spark, sf_dir, "textnodes"), "loaded_at").withColumn("first_seen", F.unix_micros("first_seen"))
+
+
 CONFUSION_SQL = PRIMARY_SQL + """, gold AS (SELECT Url, replace(replace(replace(Text, '#N#', chr(10)), '#TAB#', chr(9)), '#R#', chr(13)) AS g, JudgmentIsPrimary AS yes
   FROM goldlabels WHERE Url IS NOT NULL AND TextNodeId IS NOT NULL AND Text IS NOT NULL AND JudgmentIsPrimary IS NOT NULL
 ), hit AS (SELECT gold.Url, yes, coalesce(contains(t.Text, g), false) AS found FROM gold LEFT JOIN primary_texts t USING (Url)
