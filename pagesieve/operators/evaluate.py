@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.session import without_nulls
+
 
 def unescaped(text: Column) -> Column:
     """Gold text with its line feeds, tabs and carriage returns restored."""
@@ -13,7 +15,7 @@ def unescaped(text: Column) -> Column:
 
 def gold_lists(gold: DataFrame) -> DataFrame:
     """(Url, positives, negatives): unescaped gold strings of each page. Rows with any null are dropped."""
-    g = gold.select("Url", "TextNodeId", "Text", "JudgmentIsPrimary").na.drop("any").withColumn("Text", unescaped(F.col("Text")))
+    g = without_nulls(gold.select("Url", "TextNodeId", "Text", "JudgmentIsPrimary")).withColumn("Text", unescaped(F.col("Text")))
     return g.groupBy("Url").agg(
         F.sort_array(F.collect_list(F.when(F.col("JudgmentIsPrimary"), F.col("Text")))).alias("positives"),
         F.sort_array(F.collect_list(F.when(~F.col("JudgmentIsPrimary"), F.col("Text")))).alias("negatives"),
@@ -23,7 +25,7 @@ def gold_lists(gold: DataFrame) -> DataFrame:
 def page_confusion(texts: DataFrame, gold: DataFrame) -> DataFrame:
     """(Url, tp, tn, fp, fn): gold strings found or not in the page's predicted text (Url, Text). A page without a text finds
     nothing; pages without gold do not count."""
-    g = gold.select("Url", "TextNodeId", "Text", "JudgmentIsPrimary").na.drop("any")
+    g = without_nulls(gold.select("Url", "TextNodeId", "Text", "JudgmentIsPrimary"))
     joined = g.withColumn("Text", unescaped(F.col("Text"))).join(texts.select("Url", F.col("Text").alias("_text")), "Url", "left")
     found = F.coalesce(F.contains(F.col("_text"), F.col("Text")), F.lit(False))
     yes = F.col("JudgmentIsPrimary")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.session import without_nulls
+
 
 def predicted_text(predictions: DataFrame, textnodes: DataFrame, task: str | None = None) -> DataFrame:
     """(Url, TextNodeId, Task, Text): predictions with the text of their nodes. Rows with any null are dropped, which makes
@@ -12,7 +14,7 @@ def predicted_text(predictions: DataFrame, textnodes: DataFrame, task: str | Non
     p = predictions.select("Url", "TextNodeId", "Task")
     if task is not None:
         p = p.where(F.col("Task") == task)
-    return p.join(textnodes.select("Url", "TextNodeId", "Text"), ["Url", "TextNodeId"], "left").na.drop("any")
+    return p.join(textnodes.select("Url", "TextNodeId", "Text"), ["Url", "TextNodeId"], "left").transform(without_nulls)
 
 
 def page_texts(joined: DataFrame) -> DataFrame:

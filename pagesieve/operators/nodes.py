@@ -61,7 +61,7 @@ def text_ends(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
 def texts_under(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(url, node_id, text_id) of the text nodes under each wanted (url, node_id); unknown ids have none."""
-    known = wanted.select("url", "node_id").distinct().join(nodes.select("url", "node_id", "last_desc_id"), ["url", "node_id"])
+    known = nodes.select("url", "node_id", "last_desc_id").join(wanted.select("url", "node_id"), ["url", "node_id"], "left_semi")
     found = inside(known, nodes.where("is_text").select("url", "node_id"))
     return found.select(F.col("o.url").alias("url"), F.col("o.node_id").alias("node_id"), F.col("i.node_id").alias("text_id"))
 

@@ -54,9 +54,19 @@ def passing(scores: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> Da
     return kept.where(F.col("score").cast("float") > F.col("threshold").cast("float")).select("url", "node_id", "task", "threshold")
 
 
-def sweep(scores: DataFrame) -> DataFrame:
-    """(task, threshold, url, node_ids): the set of nodes of a page, over all of its chunks, at each threshold."""
-    return passing(scores).groupBy("task", "threshold", "url").agg(F.sort_array(F.collect_set("node_id")).alias("node_ids"))
+def sweep(scores: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(task, threshold, url, node_ids): the set of nodes of a page, over all of its chunks, at each threshold.
+
+    A page's scores are gathered once for each task and every threshold cuts the same array, so the shuffle carries one
+    row a score and not one for each threshold it passes.
+    """
+    lowest = F.lit(min(thresholds)).cast("float")
+    kept = scores.where("node_id <> 0 AND score IS NOT NULL").withColumn("score", F.col("score").cast("float")).where(F.col("score") > lowest)
+    pages = kept.groupBy("task", "url").agg(F.collect_set(F.struct("node_id", "score")).alias("xs"))
+    cut = pages.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    over = F.filter("xs", lambda x: x["score"] > F.col("threshold").cast("float"))
+    ids = F.sort_array(F.array_distinct(F.transform(over, lambda x: x["node_id"])))
+    return cut.select("task", "threshold", "url", ids.alias("node_ids")).where(F.size("node_ids") > 0)
 
 
 def saved(scores: DataFrame, tasks: tuple[str, ...] = ("Primary",)) -> DataFrame:

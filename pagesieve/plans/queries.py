@@ -15,7 +15,7 @@ from pagesieve.functions.text import stripped
 from pagesieve.operators import evaluate, extract, features, labels, nodes, predict, render, training, visual
 from pagesieve.plans.pipelines import all_text
 from pagesieve.plans.registry import Registry
-from pagesieve.session import table
+from pagesieve.session import table, without_nulls
 from pagesieve.sources.files import before_dot, entry_of, response, tsv_name, without_extension
 from pagesieve.sources.warc import base_path, document_number, offset_at
 
@@ -89,10 +89,12 @@ def original_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_documents(spark, sf_dir).select("url", run("html").alias("html"))
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, node_id, text): text nodes once, without nulls."""
-    t = table(spark, sf_dir, "textnodes")
-    return t.select(F.col("Url").alias("url"), F.col("TextNodeId").alias("node_id"), F.col("Text").alias("text")).na.drop("any").distinct()
+def _nodes(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """(url, node_id, text): text nodes once, without nulls. Repeated rows never differ in text, so the text is shuffled only
+    where it is used; rows are placed by page first, and what follows by page needs no other shuffle."""
+    t = without_nulls(table(spark, sf_dir, "textnodes"), "Url", "TextNodeId", "Text")
+    kept = t.select(F.col("Url").alias("url"), F.col("TextNodeId").alias("node_id"), *([F.col("Text").alias("text")] if text else []))
+    return kept.repartition("url").dropDuplicates()
 
 
 NODES_SQL = "WITH nodes AS (SELECT DISTINCT Url AS url, TextNodeId AS node_id, Text AS text FROM textnodes WHERE Url IS NOT NULL AND TextNodeId IS NOT NULL AND Text IS NOT NULL)"
@@ -103,7 +105,7 @@ NODES_SQL = "WITH nodes AS (SELECT DISTINCT Url AS url, TextNodeId AS node_id, T
     + " SELECT url, node_id, lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id FROM nodes WINDOW w AS (PARTITION BY url ORDER BY node_id DESC)"
 )
 def node_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.linked(_nodes(spark, sf_dir)).select("url", "node_id", "prev_id", "next_id")
+    return nodes.linked(_nodes(spark, sf_dir, False)).select("url", "node_id", "prev_id", "next_id")
 
 
 @registry.add(f"SELECT Url AS url, TextNodeId AS node_id, trim(Text, {STRIP_SQL}) AS text FROM textnodes WHERE length(trim(Text, {STRIP_SQL})) > 0")
@@ -118,12 +120,12 @@ def _chunk_sql(size: int) -> str:
 
 @registry.add(_chunk_sql(384))
 def chunk_384(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).select("url", "node_id", features.chunk_number(["url"], [F.desc("node_id")]).alias("chunk"))
+    return _nodes(spark, sf_dir, False).select("url", "node_id", features.chunk_number(["url"], [F.desc("node_id")]).alias("chunk"))
 
 
 @registry.add(_chunk_sql(16))
 def chunk_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).select("url", "node_id", features.chunk_number(["url"], [F.desc("node_id")], 16).alias("chunk"))
+    return _nodes(spark, sf_dir, False).select("url", "node_id", features.chunk_number(["url"], [F.desc("node_id")], 16).alias("chunk"))
 
 
 @registry.add(
@@ -133,7 +135,7 @@ def chunk_16(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def feature_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows as compact JSON lines."""
-    return features.feature_json(features.chunk_rows(_nodes(spark, sf_dir), "url", "node_id").select("NodeIds", "Url"))
+    return features.feature_json(features.chunk_rows(_nodes(spark, sf_dir, False), "url", "node_id").select("NodeIds", "Url"))
 
 
 @registry.add(
@@ -171,7 +173,7 @@ def position_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark, sf_dir).select("url", "node_id")
+    n = _nodes(spark, sf_dir, False)
     six = F.array(*(predict.hashed_score(F.col("node_id"), k) for k in range(6)))
     return predict.exploded(n.withColumn("scores", six))
 
@@ -266,7 +268,7 @@ def gold_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, node_id, type) from the predicted tasks."""
-    t = table(spark, sf_dir, "inference_test").na.drop("any")
+    t = without_nulls(table(spark, sf_dir, "inference_test"))
     number = F.create_map(*(F.lit(x) for k, v in labels.TYPES.items() for x in (v, k)))
     return t.select(F.col("Url").alias("url"), F.col("TextNodeId").alias("node_id"), number[F.col("Task")].alias("type")).where("type IS NOT NULL")
 
@@ -277,7 +279,7 @@ ANNOTATIONS_SQL = NODES_SQL + """, ann AS (SELECT Url AS url, TextNodeId AS node
 
 @registry.add(ANNOTATIONS_SQL + " SELECT url, CAST(type AS INT) AS type, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id DESC) AS ids FROM ann JOIN (SELECT DISTINCT url, node_id FROM nodes) USING (url, node_id) GROUP BY url, type")
 def annotation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = labels.annotation_map(_annotations(spark, sf_dir), _nodes(spark, sf_dir))
+    m = labels.annotation_map(_annotations(spark, sf_dir), _nodes(spark, sf_dir, False))
     return m.select("url", "type", F.array_join(F.transform("node_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -287,12 +289,12 @@ def annotation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT url, node_id, CAST(type AS INT) AS type FROM ann UNION ALL SELECT url, node_id, 1 FROM nodes WHERE url NOT IN (SELECT url FROM has)"""
 )
 def label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.with_fallback(_annotations(spark, sf_dir), _nodes(spark, sf_dir).withColumn("is_text", F.lit(True)))
+    return labels.with_fallback(_annotations(spark, sf_dir), _nodes(spark, sf_dir, False).withColumn("is_text", F.lit(True)))
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text nodes with pseudo intervals: a node spans as many ids as its id leaves over seven."""
-    n = _nodes(spark, sf_dir)
+    n = _nodes(spark, sf_dir, False)
     return n.withColumn("is_text", F.lit(True)).withColumn("last_desc_id", (F.col("node_id") + F.col("node_id") % 7).cast("int"))
 
 
@@ -312,13 +314,13 @@ def label_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """ SELECT url, node_id, array_to_string([CASE WHEN list_contains(coalesce(types, []), k) THEN 1 ELSE 0 END for k in range(1, 7)], ',') AS labels FROM nodes LEFT JOIN types USING (url, node_id)"""
 )
 def label_multihot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = labels.multi_hot(_nodes(spark, sf_dir), labels.propagated(_annotations(spark, sf_dir), _tree(spark, sf_dir)))
+    hot = labels.multi_hot(_nodes(spark, sf_dir, False), labels.propagated(_annotations(spark, sf_dir), _tree(spark, sf_dir)))
     return hot.select("url", "node_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
 @registry.add(ANNOTATIONS_SQL + " SELECT url, node_id, (url, node_id) IN (SELECT (url, node_id) FROM ann WHERE type = 1) AS is_primary FROM nodes")
 def gold_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.gold_flag(_nodes(spark, sf_dir), _annotations(spark, sf_dir)).select("url", "node_id", "is_primary")
+    return labels.gold_flag(_nodes(spark, sf_dir, False), _annotations(spark, sf_dir)).select("url", "node_id", "is_primary")
 
 
 TREE_SQL = NODES_SQL + ", tree AS (SELECT DISTINCT url, node_id, node_id + node_id % 7 AS last_id FROM nodes)"
@@ -327,18 +329,18 @@ TREE_SQL = NODES_SQL + ", tree AS (SELECT DISTINCT url, node_id, node_id + node_
 @registry.add(TREE_SQL + " SELECT o.url, o.node_id, max(i.node_id) AS first_text_id, min(i.node_id) AS last_text_id FROM tree o JOIN tree i ON o.url = i.url AND i.node_id BETWEEN o.node_id AND o.last_id GROUP BY o.url, o.node_id")
 def subtree_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last text node of each subtree."""
-    return nodes.text_ends(_tree(spark, sf_dir)).distinct()
+    return nodes.text_ends(_tree(spark, sf_dir))
 
 
 @registry.add(TREE_SQL + " SELECT o.url, o.node_id, i.node_id AS text_id FROM tree o JOIN tree i ON o.url = i.url AND i.node_id BETWEEN o.node_id AND o.last_id")
 def texts_under(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tree(spark, sf_dir).drop("text").distinct()
+    t = _tree(spark, sf_dir)
     return nodes.texts_under(t, t)
 
 
 @registry.add(TREE_SQL + " SELECT o.url, o.node_id, EXISTS (SELECT 1 FROM tree a WHERE a.url = o.url AND a.node_id < o.node_id AND o.node_id < a.last_id) AS is_nested FROM tree o")
 def remove_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tree(spark, sf_dir).select("url", "node_id", "last_desc_id").distinct()
+    t = _tree(spark, sf_dir).select("url", "node_id", "last_desc_id")
     return nodes.nested(t, ["url"]).select("url", "node_id", "is_nested")
 
 

@@ -64,5 +64,13 @@ def broadcast_if_small(df: DataFrame, size: int, limit: int = BROADCAST_LIMIT) -
     return F.broadcast(df) if size <= limit else df.hint("merge")
 
 
+def without_nulls(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows without a null in the columns, all by default: as plain tests, which reach the scan and turn a left join into
+    an inner one, unlike a count of nulls."""
+    for c in columns or df.columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
