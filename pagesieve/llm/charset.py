@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,6 +51,7 @@ CHAINS = (
 SOUND, LOST = 0, len(CHAINS) + 1
 STATES = len(CHAINS) + 2
 
+_break = re.compile("\n")
 _run = re.compile(r"[^\x00-\x7f]+")
 _utf8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 
@@ -361,10 +363,11 @@ def restore(text: str, share, logs) -> tuple[int, float, str] | None:
         # the cells of a line are garbled together or not at all
         lines: dict[int, Counter] = {}
         seen: Counter = Counter()
+        breaks = [m.start() for m in _break.finditer(text)]
         for c, a, _, _ in known:
             seen[c] += 1
             if seen[c] <= ALIKE:
-                lines.setdefault(text.count("\n", 0, a), Counter())[c] += 1
+                lines.setdefault(bisect_left(breaks, a), Counter())[c] += 1
         by = {c: g for c, _, _, g in known}
         score = {SOUND: math.log(share[SOUND]) + sum(n * by[c][SOUND] for line in lines.values() for c, n in line.items())}
         for state in {s for g in by.values() for s in g if s != SOUND}:

@@ -106,7 +106,7 @@ def repeated_lines(pages: DataFrame, rule: Rule = Rule(), frequent: DataFrame |
     frequent = frequent_lines(pages, rule) if frequent is None else frequent
     n, size = rows_and_bytes(frequent, "site")
     hits = _salted_join(_exploded(pages, rule).drop("size"), frequent.drop("site", "size"), ["k", "j"], F.col("url"), size + 32 * n)
-    hits = stage(hits.groupBy("url", "site", "line_no").agg(*(F.first(c).alias(c) for c in ("k", "j", "urls", "site_urls"))), "hits")
+    hits = stage(hits.dropDuplicates(["url", "line_no", "k", "j"]), "hits")
     before = Window.partitionBy("url").orderBy("line_no")
     pairs = hits.select("site", "k", "j", "site_urls", "url", "line_no", *(F.lag(c).over(before).alias(f"{c}0") for c in ("k", "j", "line_no")))
     pairs = pairs.where("line_no = line_no0 + 1 AND (k <> k0 OR j <> j0)")

@@ -9,7 +9,6 @@ similarity test leave a task, and of those a spanning forest.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ SIMILARITY = 0.8
 HAMMING = 20
 #: Rows of a bucket compared in one block.
 BLOCK = 1000
+_MASK = (1 << 64) - 1
 
 
 def simhash(shingles: np.ndarray) -> int:
@@ -34,8 +34,9 @@ def simhash(shingles: np.ndarray) -> int:
     return int(np.packbits(bits.sum(0) * 2 > len(shingles)).view(np.int64)[0])
 
 
-def _links(rows: list[tuple[int, int, frozenset]], crossed: list[int], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs; crossed has each row's block, and with two blocks only pairs across count."""
+def _links(rows: list[tuple[int, int, frozenset]], crossed: list[int], similarity: float, hamming: int = 64) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs whose SimHashes differ in few enough bits; crossed has each row's block, and
+    with two blocks only pairs across count."""
     parent = list(range(len(rows)))
 
     def root(i: int) -> int:
@@ -51,7 +52,7 @@ def _links(rows: list[tuple[int, int, frozenset]], crossed: list[int], similarit
             b, sb, set_b = rows[j]
             if len(set_a) < similarity * len(set_b):
                 break
-            if two and crossed[i] == crossed[j] or root(i) == root(j):
+            if two and crossed[i] == crossed[j] or ((sa ^ sb) & _MASK).bit_count() > hamming or root(i) == root(j):
                 continue
             common = len(set_a & set_b)
             if common >= similarity * (len(set_a) + len(set_b) - common):
@@ -65,16 +66,17 @@ def _compare(similarity: float):
         group, rows, crossed = None, [], []
 
         def done() -> pa.RecordBatch:
-            links = _links(rows, crossed, similarity)
+            # the rare-shingle index finds what the SimHash tables give up here
+            links = _links(rows, crossed, similarity, 64 if group[3] else HAMMING)
             return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "low", "high", "block", "id", "sim", "shingles")]
-            for bucket, low, high, block, i, sim, shingles in zip(*cols, strict=True):
-                if (bucket, low, high) != group:
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "low", "high", "rare", "block", "id", "sim", "shingles")]
+            for bucket, low, high, rare, block, i, sim, shingles in zip(*cols, strict=True):
+                if (bucket, low, high, rare) != group:
                     if len(rows) > 1:
                         yield done()
-                    group, rows, crossed = (bucket, low, high), [], []
+                    group, rows, crossed = (bucket, low, high, rare), [], []
                 rows.append((i, sim, frozenset(shingles)))
                 crossed.append(block)
         if len(rows) > 1:
@@ -87,24 +89,20 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) links that connect whatever near-duplicates connect, from texts (id, sim, shingles): distinct sets."""
     texts = stage(texts.where(F.size("shingles") > 0), "texts")
     tables = texts.select("id", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftrightunsigned("sim", 16 * t).bitwiseAND(F.lit(0xFFFF)).alias("v")) for t in range(4)))).alias("k"))
-    tables = tables.select("id", F.xxhash64(F.lit("simhash"), "k.t", "k.v").alias("bucket"))
+    tables = tables.select("id", F.xxhash64("k.t", "k.v").alias("bucket"), F.lit(False).alias("rare"))
     each = texts.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
     often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # a shingle of one text can't link; a text's rare ones come first, ties by hash, in one order for all texts
     kept = each.join(often, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = kept.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
     prefix = F.slice("gs", 1, (F.col("n") - F.ceil(F.lit(similarity) * F.col("n")) + 1).cast("int"))
-    rare = ranked.select("id", F.explode(prefix).alias("x")).where("x.df > 1").select("id", F.xxhash64(F.lit("rare"), "x.g").alias("bucket"))
+    rare = ranked.select("id", F.explode(prefix).alias("x")).where("x.df > 1").select("id", F.col("x.g").alias("bucket"), F.lit(True).alias("rare"))
     entries = stage(tables.unionByName(rare).distinct(), "entries")
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = entries.groupBy("bucket", "rare").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = entries.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    placed = entries.join(sizes, ["bucket", "rare"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("bucket", "block", "id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = paired.join(texts, "id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
-    return rows.select("bucket", "low", "high", "block", "id", "sim", "shingles").mapInArrow(_compare(similarity), "a BIGINT, b BIGINT").distinct()
+    paired = paired.select("bucket", "rare", "block", "id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = paired.join(texts, "id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rare", "id")
+    return rows.select("bucket", "low", "high", "rare", "block", "id", "sim", "shingles").mapInArrow(_compare(similarity), "a BIGINT, b BIGINT").distinct()
 
-
-def rarest(n: int, similarity: float = SIMILARITY) -> int:
-    """Length of the prefix of n sorted shingles that any similar set must meet."""
-    return n - math.ceil(similarity * n) + 1
