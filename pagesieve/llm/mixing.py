@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagesieve.session import stage
+from pagesieve.session import broadcast_if_small, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public word pattern of byte-level BPE vocabularies.
@@ -64,8 +64,9 @@ def mix(counted: DataFrame, targets: DataFrame, total_share: float = 0.5, seed:
         F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"),
         F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"),
     )
-    goal = goal.where("source IS NOT NULL")
-    keyed = counted.join(F.broadcast(goal.select("source")), "source").withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+    goal = stage(goal.where("source IS NOT NULL"), "goal")
+    wanted = goal.count() * 64
+    keyed = counted.join(broadcast_if_small(goal.select("source"), wanted), "source").withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
     spread = max(8, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = stage(keyed.repartitionByRange(spread, "source", "key").withColumn("part", F.spark_partition_id()), "placed")
     # one row a source and partition: sources of the target table times partitions at most
@@ -80,8 +81,8 @@ def mix(counted: DataFrame, targets: DataFrame, total_share: float = 0.5, seed:
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("size")).otherwise(0.0)
     plan = stage(plan.withColumn("rest", rest), "plan")
     within = Window.partitionBy("source", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = placed.withColumn("run", F.sum("tokens").over(within)).join(F.broadcast(offsets.select("source", "part", "offset")), ["source", "part"])
-    joined = running.join(F.broadcast(plan.select("source", "epochs", "rest")), "source")
+    running = placed.withColumn("run", F.sum("tokens").over(within)).join(broadcast_if_small(offsets.select("source", "part", "offset"), wanted * spread), ["source", "part"])
+    joined = running.join(broadcast_if_small(plan.select("source", "epochs", "rest"), wanted), "source")
     # the document on the cut goes to the side that brings the source nearer to its budget
     taken = (F.col("offset") + F.col("run") - F.col("tokens") / 2 <= F.col("rest")).cast("long")
     records = joined.withColumn("repeats", F.col("epochs") + taken).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
