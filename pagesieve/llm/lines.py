@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagesieve.functions.text import folded_line, folded_lines, site_of
-from pagesieve.session import broadcast_if_small, rows_and_bytes, stage
+from pagesieve.session import BROADCAST_LIMIT, broadcast_if_small, rows_and_bytes, stage
 
 #: Copies of the frequent lines in a shuffled join, so that one line's rows fall to as many tasks.
 SALTS = 32
@@ -32,6 +32,10 @@ class Rule:
     min_urls: int = 3
     min_share: float = 0.1
 
+    def kept(self, urls: Column, site_urls: Column) -> Column:
+        """Whether the support is high; a share that is met exactly counts, whatever its float product."""
+        return (urls >= self.min_urls) & (urls >= F.lit(self.min_share) * site_urls - 1e-6)
+
 
 def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select("url", site_of(F.col("url")).alias("site"), "text").where("url IS NOT NULL AND text IS NOT NULL")
@@ -62,14 +66,14 @@ def frequent_lines(pages: DataFrame, rule: Rule = Rule()) -> DataFrame:
     lines = _exploded(pages, rule).select("site", "k", "j", F.xxhash64("url").alias("u"), "size")
     nodes = lines.groupBy("site", "k", "j").agg(F.countDistinct("u").alias("urls"), F.max("size").alias("size")).where(F.col("urls") >= rule.min_urls)
     sites = _keyed(pages).groupBy("site").agg(F.countDistinct(F.xxhash64("url")).alias("site_urls"))
-    kept = nodes.join(sites, "site").where(F.col("urls") >= rule.min_share * F.col("site_urls"))
+    kept = nodes.join(sites, "site").where(rule.kept(F.col("urls"), F.col("site_urls")))
     return stage(kept, "lines")
 
 
 def _salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, size: int) -> DataFrame:
     """Inner join with a right side of few rows a key: broadcast when measured small, else salted."""
     right_b = broadcast_if_small(right, size)
-    if size <= 32 * 1024 * 1024:
+    if size <= BROADCAST_LIMIT:
         return left.join(right_b, on)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
@@ -111,7 +115,7 @@ def repeated_lines(pages: DataFrame, rule: Rule = Rule(), frequent: DataFrame |
     pairs = hits.select("site", "k", "j", "site_urls", "url", "line_no", *(F.lag(c).over(before).alias(f"{c}0") for c in ("k", "j", "line_no")))
     pairs = pairs.where("line_no = line_no0 + 1 AND (k <> k0 OR j <> j0)")
     edges = pairs.groupBy("site", "k0", "j0", "k", "j", "site_urls").agg(F.countDistinct(F.xxhash64("url")).alias("w"))
-    edges = edges.where((F.col("w") >= rule.min_urls) & (F.col("w") >= rule.min_share * F.col("site_urls")))
+    edges = edges.where(rule.kept(F.col("w"), F.col("site_urls")))
     graph = frequent.groupBy("site").agg(F.collect_list(F.struct("k", "j")).alias("nodes")).join(
         edges.groupBy("site").agg(F.collect_list(F.struct("k0", "j0", "k", "j")).alias("edges")), "site", "left"
     )
@@ -128,7 +132,7 @@ def own_text(pages: DataFrame, rule: Rule = Rule(), frequent: DataFrame | None =
     n, size = rows_and_bytes(frequent, "site")
     sites = frequent.groupBy(F.col("site").alias("_site")).agg(F.collect_set("k").alias("_ks"))
     keyed = pages.withColumn("_site", site_of(F.col("url")))
-    if size <= 32 * 1024 * 1024:
+    if size <= BROADCAST_LIMIT:
         joined = keyed.join(F.broadcast(sites), "_site", "left")
     else:
         sites = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

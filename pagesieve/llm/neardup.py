@@ -24,6 +24,8 @@ HAMMING = 20
 #: Rows of a bucket compared in one block.
 BLOCK = 1000
 _MASK = (1 << 64) - 1
+#: A similarity that is met exactly counts, whatever its float product.
+_SLACK = 1e-9
 
 
 def simhash(shingles: np.ndarray) -> int:
@@ -50,12 +52,12 @@ def _links(rows: list[tuple[int, int, frozenset]], crossed: list[int], similarit
         a, sa, set_a = rows[i]
         for j in order[x + 1 :]:
             b, sb, set_b = rows[j]
-            if len(set_a) < similarity * len(set_b):
+            if len(set_a) < similarity * len(set_b) - _SLACK:
                 break
             if two and crossed[i] == crossed[j] or ((sa ^ sb) & _MASK).bit_count() > hamming or root(i) == root(j):
                 continue
             common = len(set_a & set_b)
-            if common >= similarity * (len(set_a) + len(set_b) - common):
+            if common >= similarity * (len(set_a) + len(set_b) - common) - _SLACK:
                 parent[root(i)] = root(j)
                 out.append((min(a, b), max(a, b)))
     return out
@@ -95,7 +97,7 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # a shingle of one text can't link; a text's rare ones come first, ties by hash, in one order for all texts
     kept = each.join(often, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = kept.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    prefix = F.slice("gs", 1, (F.col("n") - F.ceil(F.lit(similarity) * F.col("n")) + 1).cast("int"))
+    prefix = F.slice("gs", 1, (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - _SLACK) + 1).cast("int"))
     rare = ranked.select("id", F.explode(prefix).alias("x")).where("x.df > 1").select("id", F.col("x.g").alias("bucket"), F.lit(True).alias("rare"))
     entries = stage(tables.unionByName(rare).distinct(), "entries")
     sizes = entries.groupBy("bucket", "rare").agg(F.count(F.lit(1)).alias("m")).where("m > 1")

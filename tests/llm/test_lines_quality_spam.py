@@ -39,6 +39,12 @@ def test_repeated_lines(spark):
     assert repeated_lines(pages(spark, [])).count() == 0 and own_text(pages(spark, [])).count() == 0
 
 
+def test_exact_share_counts(spark):
+    rows = [(f"http://c.example/{i}", LEGAL if i < 7 else f"Some own line of the page {'y' * i}") for i in range(70)]
+    rows += [(f"http://d.example/{i}", LEGAL if i < 7 else f"Some own line of the page {'y' * i}") for i in range(71)]
+    assert {r.url for r in repeated_lines(pages(spark, rows)).collect()} == {f"http://c.example/{i}" for i in range(7)}
+
+
 def test_salted_join_is_whole(spark):
     left = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") % 3).alias("j"), F.col("id").cast("string").alias("url"))
     right = spark.range(2).select(F.col("id").alias("k"), F.col("id").alias("j"))
