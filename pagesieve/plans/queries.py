@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.functions.decode import language, without_controls
+from pagesieve.functions.decode import PROFILES, language, without_controls
 from pagesieve.functions.dom import original, parse_pages
 from pagesieve.functions.text import stripped
 from pagesieve.operators import evaluate, extract, features, labels, nodes, predict, render, training, visual
@@ -78,7 +78,14 @@ def paragraphs_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.descendants_by_tag(n, n.where("node_id = 0"), ["p", "title"])
 
 
-@registry.add()
+_SHOWN = "CASE WHEN regexp_full_match(x, '[ \\t\\n\\r\\f\\v]+') THEN ' ' ELSE replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END"
+
+
+@registry.add(
+    f"""WITH parts AS (SELECT CAST(doc_id AS VARCHAR) AS url, str_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL
+    ), shown AS (SELECT url, [{_SHOWN} for x in p] AS p FROM parts)
+    SELECT url, '<html><head><title>' || p[1] || '</title></head><body>' || array_to_string(['<p>' || x || '</p>' for x in p], '') || '</body></html>' AS html FROM shown"""
+)
 def original_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without the markers of an annotated copy."""
 
@@ -258,7 +265,7 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(
     """WITH g AS (SELECT Url, replace(replace(replace(Text, '#N#', chr(10)), '#TAB#', chr(9)), '#R#', chr(13)) AS t, JudgmentIsPrimary AS yes FROM goldlabels
       WHERE Url IS NOT NULL AND TextNodeId IS NOT NULL AND Text IS NOT NULL AND JudgmentIsPrimary IS NOT NULL)
-    SELECT Url AS url, count(*) FILTER (yes) AS positives, count(*) FILTER (NOT yes) AS negatives, sum(length(t)) AS chars FROM g GROUP BY Url"""
+    SELECT Url AS url, count(*) FILTER (yes) AS positives, count(*) FILTER (NOT yes) AS negatives, CAST(sum(length(t)) AS BIGINT) AS chars FROM g GROUP BY Url"""
 )
 def gold_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = evaluate.gold_lists(table(spark, sf_dir, "goldlabels"))
@@ -513,7 +520,15 @@ def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lower("lang").alias("lang")).where("lang = 'en'")
 
 
-@registry.add()
+_COUNTS = ", ".join(f"len([x for x in ws if x IN ({', '.join(repr(w) for w in p.split())})]) AS {k}" for k, p in PROFILES.items())
+_BEST = f"greatest({', '.join(PROFILES)})"
+
+
+@registry.add(
+    f"""WITH w AS (SELECT doc_id, lang, regexp_split_to_array(lower(regexp_replace(text, '\\p{{C}}', '', 'g')), '[^\\p{{L}}]+') AS ws FROM documents WHERE text IS NOT NULL
+    ), c AS (SELECT doc_id, lang, {_COUNTS} FROM w)
+    SELECT doc_id, lang, CASE WHEN {_BEST} = 0 THEN NULL {" ".join(f"WHEN {k} = {_BEST} THEN '{k}'" for k in PROFILES)} END AS detected FROM c"""
+)
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document by its frequent words."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
