@@ -10,6 +10,7 @@ trusted labels travel through the connected components.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ SIGNS = (
     r"|\b(?:http |erreur |error |fehler |erro |ошибка |код )[45]\d\d\b|error \(?[45]\d\d|\([45]\d\d\)\s*$"
     r"|page (?:not found|can[’']t be found|cannot be found|does not exist)|page\b.{0,80}\bintrouvable|seite (?:wurde )?nicht gefunden|página no encontrada|página não encontrada|страница не найдена"
     r"|\bforbidden\b|access denied|accès refusé|zugriff verweigert|acceso denegado|acesso negado|доступ запрещ"
+    r"|(?:could not|cannot|can[’']t|unable to|failed to) connect|too many connections|connection failed|database (?:error|failure|unavailable)|(?:error|erro|errore) interno|internal error|внутренняя ошибка|ошибка сервера"
+    r"|(?:page|story|article|content|item|document|file|resource|post|link)\b.{0,60}\b(?:(?:has been|was|were) (?:re)?moved|(?:is )?no longer (?:available|exists?|here)|has expired|is not available|could not be found)"
     r"|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|temporarily unavailable|down for maintenance|under maintenance|maintenance mode|internal server error|interner serverfehler|erreur interne"
     r"|fatal error|stack trace|traceback \(most|uncaught \w*(?:error|exception)|undefined (?:index|variable|method|offset)|call to undefined|sqlstate|database (?:connection )?error|error establishing|connection (?:refused|timed out|reset)"
     r"|session (?:has |is )?(?:expired|ended)|session expirée|sitzung (?:ist )?abgelaufen|sesión (?:ha )?(?:caducado|expirado)|sessão expir|сеанс (?:истёк|истек)"
@@ -52,7 +55,7 @@ SIGNS = (
     r"|something went wrong while|got no valid answer|do not have permission to view|the address \S+ does not exist"
     r"|javascript|\bjava script\b|(?:support|enable|allow|activate|turn on|block)\w*\W+(?:\w+\W+){0,3}scripts?\b|scripts? (?:is|are) (?:required|disabled|blocked|needed)"
     r"|checking (?:your|the|that your|if the|if your) (?:browser|connection|site)|verify(?:ing)? (?:that )?you are (?:a )?human|verifying your browser|are you a robot|ddos protection|enable cookies and reload"
-    r"|untitled document|enter text here|add a subtitle|your (?:title|text|content) here|click to (?:edit|add)|insert (?:text|title|image) here|sample (?:text|page|content)\b|placeholder text|(?:title|subtitle|text|content|headline|caption|image|name) (?:goes )?here\b|replace this (?:text|title|image)|texte ici|text hier eingeben|escriba aquí|texto aqui"
+    r"|untitled document|enter text here|add a subtitle|your (?:title|text|content) here|click to (?:edit|add)|insert (?:text|title|image) here|sample (?:text|page|content)\b|placeholder text|(?:title|subtitle|text|content|headline|caption|image|name) (?:goes )?here\b|replace this (?:text|title|image)|dummy (?:text|paragraph|content|copy)|insert your \w+|write something about|tell us about yourself|describe yourself here|texte ici|text hier eingeben|escriba aquí|texto aqui"
 )
 # One of these stands in whatever SIGNS match, besides a number from 400 to 599; they spare most lines the match.
 HINTS = (
@@ -60,7 +63,8 @@ HINTS = (
     "internal server", "serverfehler", "erreur interne", "fatal error", "stack trace", "traceback", "uncaught", "undefined", "sqlstate", "database", "establishing",
     "connection", "session", "sitzung", "sesión", "sessão", "сеанс", "object object", "null", "nan", "none", "error code", "something went", "valid answer",
     "permission to", "the address", "javascript", "script", "checking", "verify", "robot", "ddos", "enable cookies", "untitled", "enter text", "subtitle", " here",
-    "click to", "insert ", "sample ", "placeholder", "texte ici", "eingeben", "escriba", "texto aqui", "replace this", "error (", "error 4", "error 5",
+    "click to", "insert ", "sample ", "placeholder", "texte ici", "eingeben", "escriba", "texto aqui", "replace this", "error (", "connect", "interno", "internal error", "ошибка", "removed", "moved", "no longer", "expired", "not available", "not be found",
+    "database", "dummy ", "insert your", "write something", "yourself", "error 4", "error 5",
 )
 # Lines that may stand beside residue and say nothing by themselves.
 IDLE = re.compile(r"^\W*(?:loading|please wait|one moment|just a moment|wait|chargement|laden|bitte warten|cargando|carregando|загрузка|veuillez patienter|aguarde)\W*$", re.I)
@@ -70,6 +74,7 @@ CHROME = re.compile(r"[|·›»/–]\s|©|\bcopyright\b|all rights reserved", re
 _field, _signs = re.compile(FIELD), re.compile(SIGNS, re.I)
 _opens, _status = re.compile(r"[{%*\[<_@|~]"), re.compile(r"[45]\d\d")
 _quoted = re.compile(r"[“\"«„‘'][^”\"»“’']{1,60}[”\"»“’']")
+_same = re.compile(r"\W*(\w+)(?:\W+\1){2,}\W*", re.I)
 _unit = re.compile(r"(?<=[.!?…])[”\"»]?\s+")
 _word = re.compile(r"[^\W\d_]+")
 _mask = re.compile(r"\S*[\d/\\@]\S*")
@@ -87,7 +92,7 @@ def filler(words: list[str], least: int = 3) -> bool:
 
 def is_residue(unit: str) -> bool:
     """Whether a line or sentence is residue by a trusted sign. Signs that are quoted are talked about."""
-    if _opens.search(unit) and _field.search(unit):
+    if _opens.search(unit) and _field.search(unit) or _same.fullmatch(unit):
         return True
     low = unit.lower()
     if not _status.search(unit) and not any(h in low for h in HINTS):
@@ -97,10 +102,12 @@ def is_residue(unit: str) -> bool:
 
 def look(text: str) -> tuple[int, list[str]] | None:
     """(words of residue, masked words of all but menu and footer lines) of a document without a full text of its
-    own; None as soon as its own sentences make a full text."""
+    own; None as soon as its own sentences, each counted once, make a full text. A sentence that fills half of the
+    document by three copies or more is filler, and a stack trace is an error message."""
     raw = [x for x in text.split("\n") if x.strip()]
     parsed: dict[int, Line] = {}
-    residue, own, kept, chrome, weak = 0, 0, [], [], 3
+    residue, own, kept, chrome, weak, traces = 0, 0, [], [], 3, 0
+    sentences: Counter = Counter()
 
     def line(i: int) -> Line:
         if i not in parsed:
@@ -129,12 +136,24 @@ def look(text: str) -> tuple[int, list[str]] | None:
                     residue += max(n, 1)
                 elif prose:
                     own += n
-        elif prose and not TRACE.search(x):
-            own += len(me.words)
+        elif TRACE.search(x):
+            traces += 1
+        elif prose:
+            for u in _unit.split(x) if len(me.words) > 3 else (x,):
+                u = u.strip().lower()
+                sentences[u] += 1
+                if sentences[u] == 1:
+                    own += len(_word.findall(u))
         if own >= FULL_TEXT:
             return None
         menu = not hit and (not prose or CHROME.search(x) and not me.closes)
         (chrome if menu else kept).append(x)
+    if sentences and (most := max(sentences, key=lambda u: (sentences[u], u))):
+        copies = sentences[most] * len(_word.findall(most))
+        if sentences[most] >= 3 and copies * 2 >= sum(n * len(_word.findall(u)) for u, n in sentences.items()):
+            residue += copies
+    if traces >= 2:
+        residue += traces
     masked = _loose.findall(_mask.sub("0", _field.sub("{}", "\n".join(kept or chrome))).lower())
     return residue, masked
 

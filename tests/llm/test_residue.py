@@ -15,7 +15,7 @@ PROSE = "The old house stood near the river and nobody lived there. It was a col
     "text",
     ["Welcome to {{name}}, the shop in {{city}}.", "Buy %title% for only %price%", "Thanks, [[street]]", "Dear *|name|*,", "About <%= x %>", "Hello ${user.email}", "About @@title@@", "Thanks, __city__",
      "404 – Page not found", "502 Bad Gateway", "Erreur 404", "Seite nicht gefunden", "[object Object]", "null null", "Please enable JavaScript to view this page.", "Checking your browser before you enter X.",
-     "Service temporarily unavailable", "Session expired", "Fatal error", "Untitled document", "Your text goes here. Replace this text."],
+     "Service temporarily unavailable", "Session expired", "Fatal error", "Untitled document", "Database connection failed", "The story you asked for has been removed or is no longer available.", "Error interno del servidor", "Text text text.", "This is a dummy paragraph.", "Your text goes here. Replace this text."],
 )
 def test_signs(text):
     assert is_residue(text)
@@ -30,6 +30,8 @@ def test_look():
     assert look(PROSE) is None and look(PROSE + "\nIn the template, write {{date}} here.") is None and look("Please enable JavaScript.\n" + PROSE) is None
     assert look("404 – Page not found\nThe address /x/1 does not exist on this server. Check the spelling.")[0] > 0
     assert look("Lorem ipsum dolor sit amet, consectetur adipiscing elit.\n" * 30)[0] > 0
+    assert look("Some words of the house. " * 40)[0] > 0  # one sentence over and over is filler, however long
+    assert look("at a.b (c.php:12)\n#1 d.e (f.js:3)\nFile x (y.py:7)")[0] > 0
     assert look("")[1] == [] and look("A short sentence of its own.")[0] == 0
 
 
