@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
+from pagesieve.llm.charset import CHAINS, undo
+
 # Common function words by language.
 COMMON = {
     "en": "the a an of in on to and with for by that this their our every one another its from at after before during is are was were not it as be or but if when while inside near",
@@ -30,9 +32,14 @@ _ends_line = re.compile(r"[.!?…;:,][”\"»’')\]]*\s*$")
 _closes = re.compile(r"[.!?…][”\"»’')\]]*\s*$")
 _symbol = re.compile(r"[^\w\s.,;:!?'\"’“”„«»()–—…-]|_")
 _slashed = re.compile(r"(?<!\w)\w/\w(?!\w)")
+_lead, _foreign, _foreign_run = re.compile("[ÐÑÃÂâРСГвĂÄ├┬Γ√‚╨╤]"), re.compile(r"[^\x00-\x7f]"), re.compile(r"[^\x00-\x7f]+")
 _unit = re.compile(r"(?<=[.!?…])\s+")
 _cyr = re.compile(r"[Ѐ-ӿ]")
-_url = re.compile(r"(?:https?://|www\.)\S+")
+# Endings of host names.
+_TOP = "example|test|com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|pt|it|nl|ru|uk|us|br|mx|ch|at|be|pl|cz|se|no|dk|fi|jp|cn|in|au|ca"
+_domain_end = re.compile(rf"\.(?:{_TOP})(?![\w.-])")
+_url = re.compile(rf"<a\s[^>]*>|(?:https?://|www\.)\S+|(?:[A-Za-z0-9-]+\.)+(?:{_TOP})(?![\w.-])(?:/\S*)?")
+_enumerated = re.compile(r"^\W*\d{1,3}[.)]\s+")
 
 
 def language(words: list[str], text: str) -> str:
@@ -56,18 +63,20 @@ class Line:
     def __init__(self, text: str) -> None:
         bare = text.strip()
         self.text, self.n = text, len(bare)
+        bare = _enumerated.sub("", bare)
         low = (_slashed.sub("-", bare) if "/" in bare else bare).lower()
         self.words = _word.findall(low)
         self.common = sum(map(ALL_COMMON.__contains__, self.words))
         # letters of words make up most of what is no blank, and it is no row of hash tags
-        self.mostly_words = sum(map(len, self.words)) * 100 >= 72 * (self.n - bare.count(" ")) and bare.count("#") * 4 <= len(self.words)
+        self.mostly_words = sum(map(len, self.words)) * 100 >= 72 * (len(bare) - bare.count(" ")) and bare.count("#") * 4 <= len(self.words)
         self.ends = len(_end.findall(bare))
         self.closes = self.ends > 0 and bool(_closes.search(bare))
 
 
 def prose_flags(lines: list[Line]) -> list[bool]:
-    """For each line whether it is part of sentences: mostly words, and either function words in or around it
-    or sentence ends. Neighbours count so that prose with hard line breaks stays prose."""
+    """For each line whether it is part of sentences: mostly words, and either a sentence that closes, or function words
+    in a neighbourhood where sentences end. Neighbours count so that prose with hard line breaks stays prose, while the
+    items of a list, which end no sentence, do not become it."""
     out = []
     for i, x in enumerate(lines):
         if not x.mostly_words or not x.words:
@@ -77,16 +86,21 @@ def prose_flags(lines: list[Line]) -> list[bool]:
         words = sum(len(y.words) for y in around)
         own = x.common / len(x.words) if x.words else 0.0
         near = sum(y.common for y in around) / words if words else 0.0
-        ends = sum(y.ends for y in around)
+        ends = sum(y.ends for y in lines[max(0, i - 2) : i + 3])
         sentence = x.closes and len(x.words) >= 3 or x.ends and own >= 0.05
-        flows = own >= 0.08 and near >= 0.12 and (ends or len(x.words) >= 3) or ends and near >= 0.04 and len(x.words) >= 5
+        flows = ends > 0 and (own >= 0.08 and near >= 0.12 or near >= 0.04 and len(x.words) >= 5 and sum(y.ends for y in around) > 0)
         out.append(bool(sentence or flows))
     return out
 
 
 def _link_line(line: str) -> bool:
-    found = _url.findall(line) if "://" in line or "www." in line else None
-    return bool(found) and sum(map(len, found)) * 10 >= len(line.strip()) * 3
+    """Whether a line is a link or the caption of one: addresses or anchors take three tenths of it, or stand in a short line
+    that ends no sentence."""
+    if "://" not in line and "www." not in line and "<a " not in line and not _domain_end.search(line):
+        return False
+    found = sum(map(len, _url.findall(line)))
+    bare = line.strip()
+    return found > 0 and (found * 10 >= len(bare) * 3 or bare.count(" ") < 16 and not _closes.search(bare))
 
 
 def spam_share(text: str, words: list[str], counts: Counter) -> tuple[float, float]:
@@ -118,8 +132,26 @@ FIGURES = (
 )
 
 
+def sound(text: str) -> str:
+    """The text with wrongly decoded UTF-8 undone where most of its non-ASCII characters look like it: wrongly decoded prose
+    is still prose, and its words are those of the original."""
+    if text.isascii():
+        return text
+    strange = len(_lead.findall(text))
+    if strange < 8 or strange * 5 < len(_foreign.findall(text)):
+        return text
+    best = text
+    for chain in CHAINS:
+        if chain[1] == "utf-8":
+            got = _foreign_run.sub(lambda m, chain=chain: undo(m.group(), chain) or m.group(), text)
+            if len(got) < len(best):
+                best = got
+    return best
+
+
 def figures(text: str) -> dict:
     """All figures of one non-null text; an empty text has zeros and language `xx`."""
+    text = sound(text)
     lines = [Line(x) for x in text.split("\n")]
     words = [w for x in lines for w in x.words]
     chars = sum(x.n for x in lines)

@@ -146,7 +146,7 @@ def look(text: str) -> tuple[int, list[str]] | None:
                     own += len(_word.findall(u))
         if own >= FULL_TEXT:
             return None
-        menu = not hit and (not prose or CHROME.search(x) and not me.closes)
+        menu = not hit and not me.closes and (bool(CHROME.search(x)) or not prose and len(me.words) <= 8)
         (chrome if menu else kept).append(x)
     if sentences and (most := max(sentences, key=lambda u: (sentences[u], u))):
         copies = sentences[most] * len(_word.findall(most))

@@ -8,7 +8,10 @@ from pagesieve.llm.components import connected_components
 from pagesieve.llm.neardup import near_links, simhash
 from pagesieve.llm.residue import is_residue, look, residue_documents, without_residue
 
-PROSE = "The old house stood near the river and nobody lived there. It was a cold day, and the people of the town stayed at home with their dogs. " * 3
+PROSE = (
+    "The old house stood near the river and nobody lived there. It was a cold day, and the people of the town stayed at home with their dogs. "
+    "In the evening a letter came for the owner of the mill, who read it twice and then put it into the fire. Nobody in the town ever heard what it said."
+)
 
 
 @pytest.mark.parametrize(
