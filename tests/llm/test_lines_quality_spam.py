@@ -53,7 +53,8 @@ def test_salted_join_is_whole(spark):
 
 
 PROSE = "The old house stood near the river. It was a cold day, and the people of the town were at home."
-WRAPPED = "The old house stood near the\nriver and the people of the\ntown were at home because it\nwas a cold day in the year."
+WRAPPED = "It was a cold day. The old house\nstood near the river and the\npeople of the town were at home\nbecause it was winter then. The\nmill stood still."
+ITEMS = "\n".join(f"{mark} The {x} of the house" for mark in ("-", "3)", "7.", "•") for x in ("door", "roof", "garden"))
 TABLE = "\n".join(f"Oven {i} | n/a | {i}.5% | 2020-01-{i:02d}" for i in range(1, 20))
 STUFFED = " ".join(["cheap kettle online", "best kettle", "kettle shop", "Kettle"] * 30)
 LINKS = "\n".join(f"A title of some page {i} http://a.example/some/long/path/{i}" for i in range(20))
@@ -63,6 +64,7 @@ TAGS = " ".join(f"#kettle{x}" for x in ("", "shop", "sale", "best") * 20)
 def test_prose_flags():
     assert all(prose_flags([Line(x) for x in PROSE.split("\n")])) and all(prose_flags([Line(x) for x in WRAPPED.split("\n")]))
     assert not any(prose_flags([Line(x) for x in TABLE.split("\n")]))
+    assert not any(prose_flags([Line(x) for x in ITEMS.split("\n")]))
     assert prose_flags([Line(PROSE.upper())]) == [True]
     assert prose_flags([Line("Старая река осталась пустой после дождя и люди ушли.")]) == [True]
     assert prose_flags([Line(PROSE.replace("a", "Ã©"))]) == [True]
@@ -73,7 +75,12 @@ def test_figures():
     assert f["language"] == "en" and f["n_words"] == 21 and f["not_prose"] == 0 and f["punct_lines"] == 1
     assert figures("")["n_words"] == 0 and figures("")["not_prose"] == 0
     assert figures(TABLE)["not_prose"] > 0.9
-    for text in (STUFFED, LINKS, TAGS):
+    assert figures(ITEMS)["not_prose"] == 1 and figures(ITEMS)["spam"] == 0
+    anchors = "\n".join(f"<a href=//a.example>The title of a page {i}</a>" for i in range(9))
+    captions = "\n".join(f"The title of some page {i} – b.example" for i in range(9))
+    russian = "Старая река осталась пустой после дождя. Новая дорога привела людей к дому. " * 5
+    assert figures(russian.encode().decode("latin-1"))["not_prose"] == 0
+    for text in (STUFFED, LINKS, TAGS, anchors, captions):
         assert figures(text)["spam"] > 0.5, text
     assert figures(PROSE * 50)["spam"] == 0 and figures(TABLE)["spam"] < 0.5
     assert figures("x" * 2_000_000)["n_words"] == 1
