@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagesieve.session import reach_workers
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,7 +19,12 @@ class Registry:
 
     def add(self, sql: str | None = None) -> Callable[[Query], Query]:
         def keep(f: Query) -> Query:
-            self.queries[f.__name__] = f
+            @wraps(f)
+            def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+                reach_workers(spark)
+                return f(spark, sf_dir)
+
+            self.queries[f.__name__] = query
             if sql is not None:
                 self.sql[f.__name__] = sql
             return f
