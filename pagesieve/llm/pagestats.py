@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 
@@ -132,6 +133,10 @@ FIGURES = (
 )
 
 
+#: The runs of wrongly decoded text are few and come again and again.
+_undo = lru_cache(maxsize=1 << 17)(undo)
+
+
 def sound(text: str) -> str:
     """The text with wrongly decoded UTF-8 undone where most of its non-ASCII characters look like it: wrongly decoded prose
     is still prose, and its words are those of the original."""
@@ -143,9 +148,11 @@ def sound(text: str) -> str:
     best = text
     for chain in CHAINS:
         if chain[1] == "utf-8":
-            got = _foreign_run.sub(lambda m, chain=chain: undo(m.group(), chain) or m.group(), text)
+            got = _foreign_run.sub(lambda m, chain=chain: _undo(m.group(), chain) or m.group(), text)
             if len(got) < len(best):
                 best = got
+                if len(_lead.findall(got)) * 10 < strange:
+                    break
     return best
 
 
