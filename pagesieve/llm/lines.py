@@ -63,10 +63,10 @@ def _exploded(pages: DataFrame, rule: Rule) -> DataFrame:
 
 def frequent_lines(pages: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(site, k, j, urls, size, site_urls): the high-support nodes with the length of their longest copy, staged."""
-    lines = _exploded(pages, rule).select("site", "k", "j", F.xxhash64("url").alias("u"), "size")
-    nodes = lines.groupBy("site", "k", "j").agg(F.countDistinct("u").alias("urls"), F.max("size").alias("size")).where(F.col("urls") >= rule.min_urls)
-    sites = _keyed(pages).groupBy("site").agg(F.countDistinct(F.xxhash64("url")).alias("site_urls"))
-    kept = nodes.join(sites, "site").where(rule.kept(F.col("urls"), F.col("site_urls")))
+    lines = _exploded(pages, rule).select(F.xxhash64("site").alias("s"), "k", "j", F.xxhash64("url").alias("u"), "size")
+    nodes = lines.groupBy("s", "k", "j").agg(F.countDistinct("u").alias("urls"), F.max("size").alias("size")).where(F.col("urls") >= rule.min_urls)
+    sites = _keyed(pages).groupBy("site").agg(F.countDistinct(F.xxhash64("url")).alias("site_urls")).withColumn("s", F.xxhash64("site"))
+    kept = nodes.join(sites, "s").where(rule.kept(F.col("urls"), F.col("site_urls"))).select("site", "k", "j", "urls", "size", "site_urls")
     return stage(kept, "lines")
 
 
