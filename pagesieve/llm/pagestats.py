@@ -33,13 +33,15 @@ _ends_line = re.compile(r"[.!?…;:,][”\"»’')\]]*\s*$")
 _closes = re.compile(r"[.!?…][”\"»’')\]]*\s*$")
 _symbol = re.compile(r"[^\w\s.,;:!?'\"’“”„«»()–—…-]|_")
 _slashed = re.compile(r"(?<!\w)\w/\w(?!\w)")
-_lead, _foreign, _foreign_run = re.compile("[ÐÑÃÂâРСГвĂÄ├┬Γ√‚╨╤]"), re.compile(r"[^\x00-\x7f]"), re.compile(r"[^\x00-\x7f]+")
+_LEADS = "ÐÑÃÂâРСГвĂÄ├┬Γ√‚╨╤"
+_foreign, _foreign_run = re.compile(r"[^\x00-\x7f]"), re.compile(r"[^\x00-\x7f]+")
 _unit = re.compile(r"(?<=[.!?…])\s+")
 _cyr = re.compile(r"[Ѐ-ӿ]")
 # Endings of host names.
 _TOP = "example|test|com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|pt|it|nl|ru|uk|us|br|mx|ch|at|be|pl|cz|se|no|dk|fi|jp|cn|in|au|ca"
 _domain_end = re.compile(rf"\.(?:{_TOP})(?![\w.-])")
 _url = re.compile(rf"<a\s[^>]*>|(?:https?://|www\.)\S+|(?:[A-Za-z0-9-]+\.)+(?:{_TOP})(?![\w.-])(?:/\S*)?")
+_may_link = re.compile(rf"://|www\.|<a |\.(?:{_TOP})(?![\w.-])")
 _enumerated = re.compile(r"^\W*\d{1,3}[.)]\s+")
 
 
@@ -64,13 +66,14 @@ class Line:
     def __init__(self, text: str) -> None:
         bare = text.strip()
         self.text, self.n = text, len(bare)
-        bare = _enumerated.sub("", bare)
+        if bare and not bare[0].isalpha():
+            bare = _enumerated.sub("", bare)
         low = (_slashed.sub("-", bare) if "/" in bare else bare).lower()
         self.words = _word.findall(low)
         self.common = sum(map(ALL_COMMON.__contains__, self.words))
         # letters of words make up most of what is no blank, and it is no row of hash tags
         self.mostly_words = sum(map(len, self.words)) * 100 >= 72 * (len(bare) - bare.count(" ")) and bare.count("#") * 4 <= len(self.words)
-        self.ends = len(_end.findall(bare))
+        self.ends = len(_end.findall(bare)) if "." in bare or "!" in bare or "?" in bare or "…" in bare else 0
         self.closes = self.ends > 0 and bool(_closes.search(bare))
 
 
@@ -111,17 +114,16 @@ def spam_share(text: str, words: list[str], counts: Counter) -> tuple[float, flo
     makes up a quarter of its words, or comes twice and makes an eighth. A line is a link line when addresses
     take three tenths of it. The key word may be outnumbered by a modifier, so the three most frequent are tried.
     """
-    total, text_low = len(text) or 1, text.lower()
-    rest, linked = [], 0
-    for line in text_low.split("\n"):
-        if _link_line(line):
-            linked += len(line) + 1
-        elif line.strip():
-            rest += [(len(u) + 1, u) for u in _unit.split(line) if u.strip()]
-    best = 0
+    total, low = len(text) or 1, text.lower()
+    lines = low.split("\n")
+    links = [_link_line(line) for line in lines] if _may_link.search(low) else [False] * len(lines)
+    linked = sum(len(line) + 1 for line, link in zip(lines, links, strict=True) if link)
+    best, rest = 0, None
     for key, n in counts.most_common(3):
-        # a key word as rare as this can't fill half of the units
-        if n >= 4 and text_low.count(key) * 40 >= len(words):
+        # eight words to a hit at most: a key word as rare as this fills no third of the page
+        if n >= 4 and low.count(key) * 24 >= len(words):
+            if rest is None:
+                rest = [(len(u) + 1, u) for line, link in zip(lines, links, strict=True) if not link for u in _unit.split(line) if u.strip()]
             hits = [(size, unit.count(key), unit.count(" ") + 1) for size, unit in rest if key in unit]
             best = max(best, sum(size for size, h, k in hits if h * 4 >= k or h >= 2 and h * 8 >= k))
     return min(1.0, (linked + best) / total), min(1.0, linked / total)
@@ -142,7 +144,7 @@ def sound(text: str) -> str:
     is still prose, and its words are those of the original."""
     if text.isascii():
         return text
-    strange = len(_lead.findall(text))
+    strange = sum(map(text.count, _LEADS))
     if strange < 8 or strange * 5 < len(_foreign.findall(text)):
         return text
     best = text
@@ -151,7 +153,7 @@ def sound(text: str) -> str:
             got = _foreign_run.sub(lambda m, chain=chain: _undo(m.group(), chain) or m.group(), text)
             if len(got) < len(best):
                 best = got
-                if len(_lead.findall(got)) * 10 < strange:
+                if sum(map(got.count, _LEADS)) * 10 < strange:
                     break
     return best
 
@@ -165,9 +167,10 @@ def figures(text: str) -> dict:
     full = [x for x in lines if x.n]
     flags = [f and not _link_line(x.text) for x, f in zip(full, prose_flags(full), strict=True)]
     n = len(words)
-    counts = Counter(w for w in words if w not in ALL_COMMON and len(w) >= 3)
+    counts = Counter([w for w in words if len(w) >= 3 and w not in ALL_COMMON])
     content = sum(counts.values())
-    entropy = -sum(c / content * math.log(c / content) for c in counts.values()) / math.log(content) if content > 1 else 1.0
+    # a word that comes once adds nothing to the sum of c log c
+    entropy = 1 - sum([c * math.log(c) for c in counts.values() if c > 1]) / (content * math.log(content)) if content > 1 else 1.0
     spam, links = spam_share(text, words, counts)
     return {
         "language": language(words, text),
