@@ -10,6 +10,8 @@ CASES = [
     ("TextNodes.csv", f"{U},5,plain", None),
     ("TextNodes.csv", f'{U},5,"a ""b"", c\nd"\r', None),
     ("TextNodes.csv", f"{U},5,", None),
+    ("TextNodes.csv", f"{U},5,\n", None),
+    ("TextNodes.csv", f"{U},5,a\n\nb", None),
     ("TextNodes.csv", f'{U},5,a "b"', "quoting"),
     ("TextNodes.csv", f'{U},5,"a"b', "quoting"),
     ("TextNodes.csv", f'{U},5,"open', "quoting"),
@@ -50,7 +52,7 @@ def test_blocks_agree_with_single_records():
     assert got == {i: c[2] for i, c in enumerate(cases)}
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["TextNodes.csv", "GoldLabels.csv", "inference_test.tsv"]), st.text(alphabet='a,"\t\n\r1hps:/. true', max_size=30)), max_size=30))
 def test_any_records(rows):
     rows = [(n, f"{U},7," + t if i % 2 else t) for i, (n, t) in enumerate(rows)]
@@ -63,6 +65,12 @@ def test_any_records(rows):
     assert got == want
 
 
+def test_line_breaks_outside_quotes_are_kept():
+    rows = ["", f"{U},7,\n", f"{U},8,a\nb", f"{U},9,x"]
+    batch = pa.record_batch({"row_id": list(range(4)), "file_name": ["TextNodes.csv"] * 4, "raw": rows})
+    assert {r["row_id"]: r["text"] for b in parse_batch(batch) for r in b.to_pylist()} == {0: None, 1: "\n", 2: "a\nb", 3: "x"}
+
+
 def test_table(spark):
     rows = [(i, n, r, "x") for i, (n, r, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows, "row_id LONG, file_name STRING, raw STRING, reason STRING")
