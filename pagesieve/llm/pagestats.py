@@ -188,14 +188,14 @@ def figures(text: str) -> dict:
     }
 
 
-DDL = "url STRING, language STRING, " + ", ".join(f"{c} DOUBLE" for c in FIGURES)
+DDL = "url STRING, text_id BIGINT, language STRING, " + ", ".join(f"{c} DOUBLE" for c in FIGURES)
 
 
 def figure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        urls, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        urls, ids, texts = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
         for at in range(0, len(urls), 2000):
             rows = [figures(t) for t in texts[at : at + 2000]]
-            cols = [pa.array(urls[at : at + 2000], pa.string()), pa.array([r["language"] for r in rows], pa.string())]
+            cols = [pa.array(urls[at : at + 2000], pa.string()), ids[at : at + 2000], pa.array([r["language"] for r in rows], pa.string())]
             cols += [pa.array([r[c] for r in rows], pa.float64()) for c in FIGURES]
-            yield pa.record_batch(cols, ["url", "language", *FIGURES])
+            yield pa.record_batch(cols, ["url", "text_id", "language", *FIGURES])

@@ -2,8 +2,8 @@
 
 The statistics of a page (word count, mean word length, symbol ratio, share of lines ending in punctuation,
 share of common words, share of characters outside sentences) become percentiles and robust z-scores against
-mergeable quantile sketches kept per language. Pages in the tails are checked exactly: more than half of their
-own characters must be list, table or junk.
+mergeable quantile sketches kept per language, of one row for each distinct text. These are reported and move with
+the corpus; a page is no natural prose by its own text alone: more than half of its characters are list, table or junk.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.llm.lines import Rule, own_text
 from pagesieve.llm.pagestats import DDL, figure_batches
-from pagesieve.llm.robust import robust_z, sketches
+from pagesieve.llm.robust import one_a_text, robust_z, sketches
 from pagesieve.llm.spam import SPAM_COLUMNS, flag_spam
 from pagesieve.session import stage
 
@@ -21,12 +21,14 @@ COLUMNS = ("n_words", "mean_word", "symbol_ratio", "punct_lines", "common_share"
 # The least spread of each figure, so that languages of even pages don't turn noise into tails.
 FLOOR = {"n_words": 20.0, "mean_word": 0.3, "symbol_ratio": 0.01, "punct_lines": 0.1, "common_share": 0.05, "not_prose": 0.02}
 TAIL_Z = 3.5
+#: What decides, whatever the other pages are like.
+NOT_NATURAL = "not_prose > 0.5"
 
 
 def page_figures(pages: DataFrame, lines_rule: Rule = Rule()) -> DataFrame:
-    """(url, language and all figures of the own text) for each row with a url and a text, staged."""
+    """(url, text_id, language and all figures of the own text) for each row with a url and a text, staged."""
     own = own_text(pages.select("url", "text").where("url IS NOT NULL AND text IS NOT NULL"), lines_rule)
-    return stage(own.select("url", "own").mapInArrow(figure_batches, DDL), "figures")
+    return stage(own.select("url", F.xxhash64("own").alias("text_id"), "own").mapInArrow(figure_batches, DDL), "figures")
 
 
 def quality(figures: DataFrame) -> DataFrame:
@@ -34,14 +36,14 @@ def quality(figures: DataFrame) -> DataFrame:
 
     Null urls or texts have no figures; an empty text has zero words and is no case, having no characters; repeated rows repeat.
     """
-    scored = robust_z(figures, sketches(figures, COLUMNS), COLUMNS, FLOOR)
+    scored = robust_z(figures, sketches(one_a_text(figures), COLUMNS), COLUMNS, FLOOR)
     tail = (F.col("z_not_prose") >= TAIL_Z) | (F.col("z_symbol_ratio") >= TAIL_Z) | (F.col("z_common_share") <= -TAIL_Z) | (F.abs("z_mean_word") >= TAIL_Z)
-    return scored.withColumn("in_tail", tail).withColumn("not_natural", F.col("in_tail") & (F.col("not_prose") > 0.5))
+    return scored.withColumn("in_tail", tail).withColumn("not_natural", F.expr(NOT_NATURAL))
 
 
 def not_prose(pages: DataFrame, lines_rule: Rule = Rule()) -> DataFrame:
     """(url) of the pages that are no natural prose, the spam pages among them; each url once."""
     figures = page_figures(pages, lines_rule)
-    junk = quality(figures).where("not_natural").select("url")
+    junk = figures.where(NOT_NATURAL).select("url")
     spam = flag_spam(figures, SPAM_COLUMNS).where("is_spam").select("url")
     return junk.union(spam).distinct()

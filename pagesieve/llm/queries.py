@@ -64,7 +64,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def p3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures of each page with their percentiles and robust z-scores."""
-    return quality(page_figures(table(spark, sf_dir, "cc_text"))).distinct()
+    return quality(page_figures(table(spark, sf_dir, "cc_text"))).drop("text_id").distinct()
 
 
 @registry.add()

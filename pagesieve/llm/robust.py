@@ -14,6 +14,11 @@ POOLED = "*"
 STEPS = 50
 
 
+def one_a_text(figures: DataFrame) -> DataFrame:
+    """One row of figures for each text_id: a text counts once for its group however often its page was loaded."""
+    return figures.dropDuplicates(["text_id"])
+
+
 def sketches(figures: DataFrame, columns: tuple[str, ...], group: str = "language") -> DataFrame:
     """One row a group and one named * for all: n, and a quantile sketch of each column. Nulls are left out."""
     per = figures.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, SKETCH_K).alias(c) for c in columns))

@@ -95,3 +95,17 @@ def test_operators(spark):
     assert {r.url for r in flag_spam(figs).where("is_spam").collect()} == set(list(bad)[1:])
     assert quality(figs).count() == figs.count()
     assert not_prose(pages(spark, [])).count() == 0 and flag_spam(page_figures(pages(spark, []))).count() == 0
+
+
+def test_one_junk_page_does_not_hide_junk(spark):
+    prose = [(f"http://s{i}.example/p", f"The person {i} saw the house of the town. " + PROSE) for i in range(60)]
+    # every language figure sees the junk: English function words beside it
+    junk = "the of and\n" + TABLE
+    rows = prose + [("http://t.example/copied", junk)] * 40 + [("http://t.example/other", junk.replace("Oven", "Stove"))]
+    rows += [(f"http://t.example/{i}", junk.replace("Oven", f"Oven {'x' * i}")) for i in range(40)]
+    df = pages(spark, rows)
+    assert {r.url for r in not_prose(df).collect()} == {u for u, _ in rows[60:]}
+    figs = page_figures(df)
+    # copies of one text move no statistic
+    once = {r.url: r.z_not_prose for r in quality(figs.dropDuplicates(["url"])).collect()}
+    assert {r.url: r.z_not_prose for r in quality(figs).collect()} == once
