@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagesieve.llm.lines import Rule, own_text
 from pagesieve.llm.pagestats import DDL, figure_batches
 from pagesieve.llm.robust import one_a_text, robust_z, sketches
-from pagesieve.llm.spam import SPAM_COLUMNS, flag_spam
+from pagesieve.llm.spam import IS_SPAM
 from pagesieve.session import stage
 
 COLUMNS = ("n_words", "mean_word", "symbol_ratio", "punct_lines", "common_share", "not_prose")
@@ -44,6 +44,4 @@ def quality(figures: DataFrame) -> DataFrame:
 def not_prose(pages: DataFrame, lines_rule: Rule = Rule()) -> DataFrame:
     """(url) of the pages that are no natural prose, the spam pages among them; each url once."""
     figures = page_figures(pages, lines_rule)
-    junk = figures.where(NOT_NATURAL).select("url")
-    spam = flag_spam(figures, SPAM_COLUMNS).where("is_spam").select("url")
-    return junk.union(spam).distinct()
+    return figures.where(f"{NOT_NATURAL} OR {IS_SPAM}").select("url").distinct()

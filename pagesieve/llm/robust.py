@@ -44,7 +44,7 @@ def robust_z(figures: DataFrame, sketched: DataFrame, columns: tuple[str, ...],
     known = own.unionByName(sketched.where(F.col(group) == POOLED)).select(*stats)
     own_names = F.broadcast(own.select(F.col(group).alias("_o")))
     keyed = figures.join(own_names, figures[group] == F.col("_o"), "left").withColumn("_k", F.coalesce("_o", F.lit(POOLED)))
-    joined = keyed.join(F.broadcast(known), F.col("_k") == F.col("_g"))
+    joined = keyed.join(F.broadcast(known), F.col("_k") == F.col("_g"), "left")  # no sketch at all leaves nulls, and all rows
     z = [((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}")).alias(f"z_{c}") for c in columns]
     rank = [(F.size(F.filter(f"_s_{c}", _at_most(c))) / STEPS).alias(f"rank_{c}") for c in columns]
     return joined.select(*(figures[c] for c in figures.columns), F.col("_k").alias("reference_group"), *z, *rank)

@@ -2,8 +2,9 @@
 
 Each page is a point of density, entropy, repetition, function-word and stuffing figures. Per language a robust
 centre and scale come from quantile sketches, and a covariance from the pages within three robust deviations on
-every axis; pages far off by Mahalanobis distance in a spam-directed way are outliers, and those made for the
-most part of stuffed units or link lines are spam.
+every axis, all of one row for each distinct text that is not spam itself, so that no share of spam moves them;
+pages far off by Mahalanobis distance in a spam-directed way are outliers. These are reported; a page is spam by
+its own text alone: it is made for the most part of stuffed units or link lines.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.robust import POOLED, robust_z, sketches
+from pagesieve.llm.robust import POOLED, one_a_text, robust_z, sketches
+from pagesieve.session import stage
 
 #: The figures and the direction of spam on each.
 SPAM_COLUMNS = {"density": 1.0, "entropy": -1.0, "repetition": 1.0, "common_share": -1.0, "spam": 1.0}
@@ -22,6 +24,8 @@ FLOOR = {"density": 0.02, "entropy": 0.02, "repetition": 0.05, "common_share": 0
 CUT = 20.5
 #: Added to the diagonal of a correlation matrix before it is inverted.
 RIDGE = 0.1
+#: What decides, whatever the other pages are like.
+IS_SPAM = "spam > 0.5"
 
 
 def _inverses(z: DataFrame, columns: list[str]) -> dict[str, list[float]]:
@@ -42,8 +46,10 @@ def flag_spam(figures: DataFrame, direction: dict[str, float] = SPAM_COLUMNS) ->
     """figures with distance (squared), spamward, outlier and is_spam. Empty texts have zero figures and are no
     spam; repeated rows repeat; no rows in, no rows out."""
     columns = list(direction)
-    z = robust_z(figures, sketches(figures, tuple(columns)), tuple(columns), FLOOR)
-    inverse = _inverses(z, columns)
+    sound = stage(one_a_text(figures.where(f"NOT ({IS_SPAM})")), "sound")
+    sketched = stage(sketches(sound, tuple(columns)), "sketches")
+    z = robust_z(figures, sketched, tuple(columns), FLOOR)
+    inverse = _inverses(robust_z(sound, sketched, tuple(columns), FLOOR), columns)
     unit = np.eye(len(columns)).ravel().tolist()
     matrix = F.create_map(*(F.lit(x) for k, m in ({POOLED: unit} | inverse).items() for x in (k, F.array(*map(F.lit, m)))))
     m = F.coalesce(matrix[F.col("reference_group")], F.array(*map(F.lit, unit)))
@@ -54,5 +60,5 @@ def flag_spam(figures: DataFrame, direction: dict[str, float] = SPAM_COLUMNS) ->
         z.withColumn("distance", d2)
         .withColumn("spamward", ward)
         .withColumn("outlier", (F.col("distance") >= CUT) & (F.col("spamward") > 0))
-        .withColumn("is_spam", F.col("outlier") & (F.col("spam") > 0.5))
+        .withColumn("is_spam", F.expr(IS_SPAM))
     )

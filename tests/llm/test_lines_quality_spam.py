@@ -109,3 +109,14 @@ def test_one_junk_page_does_not_hide_junk(spark):
     # copies of one text move no statistic
     once = {r.url: r.z_not_prose for r in quality(figs.dropDuplicates(["url"])).collect()}
     assert {r.url: r.z_not_prose for r in quality(figs).collect()} == once
+
+
+def test_spam_stays_spam_at_any_share(spark):
+    prose = [(f"http://s{i}.example/p", f"The person {i} saw the house of the town. " + PROSE) for i in range(60)]
+    stuffed = "It is the best of the kettle. " + STUFFED
+    spam = [("http://t.example/copied", stuffed)] * 50 + [(f"http://t.example/{i}", stuffed.replace("shop", f"shop{'x' * i}")) for i in range(40)]
+    for rows in (prose + spam, spam, prose[:1] + spam):
+        figs = page_figures(pages(spark, rows))
+        assert {r.url for r in flag_spam(figs).where("is_spam").collect()} == {u for u, _ in spam}
+    far = flag_spam(page_figures(pages(spark, prose + spam)))
+    assert far.where("is_spam AND NOT outlier").count() == 0 and far.where("outlier AND NOT is_spam").count() == 0
