@@ -42,6 +42,10 @@ _TOP = "example|test|com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|pt|it|nl|ru|
 _domain_end = re.compile(rf"\.(?:{_TOP})(?![\w.-])")
 _url = re.compile(rf"<a\s[^>]*>|(?:https?://|www\.)\S+|(?:[A-Za-z0-9-]+\.)+(?:{_TOP})(?![\w.-])(?:/\S*)?")
 _may_link = re.compile(rf"://|www\.|<a |\.(?:{_TOP})(?![\w.-])")
+_token = re.compile(r"(?<![\w/])[^\W\d_]+(?:[’'-][^\W\d_]+)*(?![\w/])")
+_measure = re.compile(r"\d\s+([^\W\d_]+)")
+#: Share of a page that a single further word must stuff to be a key word of it.
+KEY_SHARE = 0.125
 _enumerated = re.compile(r"^\W*\d{1,3}[.)]\s+")
 
 
@@ -107,26 +111,83 @@ def _link_line(line: str) -> bool:
     return found > 0 and (found * 10 >= len(bare) * 3 or bare.count(" ") < 16 and not _closes.search(bare))
 
 
-def spam_share(text: str, words: list[str], counts: Counter) -> tuple[float, float]:
+def spam_share(text: str, words: list[str], counts: Counter, seen: Counter) -> tuple[float, float]:
     """(share of characters in stuffed units and link lines, share in link lines alone).
 
-    A unit is a line or sentence. It is stuffed when the page's key word, alone or inside a compound or hash tag,
-    makes up a quarter of its words, or comes twice and makes an eighth. A line is a link line when addresses
-    take three tenths of it. The key word may be outnumbered by a modifier, so the three most frequent are tried.
+    A unit is a line or sentence. It is stuffed when a key word or key phrase of the page makes up a quarter of its
+    words, or comes twice and makes an eighth; stuffed units of all keys count together. A line is a link line when
+    addresses take three tenths of it. Keys are the three most frequent words, inside compounds and hash tags too
+    (the key word may be outnumbered by a modifier), any word that stuffs KEY_SHARE of the page by itself, and any pair
+    of words that comes four times; the rows of a list share its other words without being made of them.
     """
     total, low = len(text) or 1, text.lower()
     lines = low.split("\n")
     links = [_link_line(line) for line in lines] if _may_link.search(low) else [False] * len(lines)
     linked = sum(len(line) + 1 for line, link in zip(lines, links, strict=True) if link)
-    best, rest = 0, None
+    rest = [u for line, link in zip(lines, links, strict=True) if not link for u in _unit.split(line) if u.strip()]
+    stuffed: set[int] = set()
+    best, measures = 0, None
     for key, n in counts.most_common(3):
         # eight words to a hit at most: a key word as rare as this fills no third of the page
         if n >= 4 and low.count(key) * 24 >= len(words):
-            if rest is None:
-                rest = [(len(u) + 1, u) for line, link in zip(lines, links, strict=True) if not link for u in _unit.split(line) if u.strip()]
-            hits = [(size, unit.count(key), unit.count(" ") + 1) for size, unit in rest if key in unit]
-            best = max(best, sum(size for size, h, k in hits if h * 4 >= k or h >= 2 and h * 8 >= k))
-    return min(1.0, (linked + best) / total), min(1.0, linked / total)
+            at = set()
+            for i, unit in enumerate(rest):
+                if key in unit:
+                    h, k = unit.count(key), unit.count(" ") + 1
+                    if h * 4 >= k or h >= 2 and h * 8 >= k:
+                        at.add(i)
+            best = max(best, sum(len(rest[i]) + 1 for i in at))
+            # the measures of a list of amounts don't add up
+            if measures is None:
+                measures = Counter(_measure.findall(low))
+            if at and measures[key] * 2 < n:
+                stuffed |= at
+    size = linked + sum(len(rest[i]) + 1 for i in stuffed)
+    keys = {w for w, n in seen.items() if n >= 4} if max(size, linked + best) * 2 <= total else set()
+    if keys:
+        # by distinct words, so that a stuffed word which is common in another language does not make the page one of that
+        keys -= _sets.get(language(list(seen), text), ALL_COMMON)
+    if keys:
+        # a unit of more than four words takes a key that comes twice
+        may, room = [], 0
+        for i, u in enumerate(rest):
+            if i not in stuffed:
+                k = len(u.split())
+                hits = [w for w in _word.findall(u) if w in keys]
+                if hits and (k <= 4 or len(set(hits)) < len(hits)):
+                    may.append((i, k))
+                    room += len(u) + 1
+        if (size + room) * 2 > total:
+            stuffed |= _stuffed_by_others(rest, may, keys, Counter(_measure.findall(low)), KEY_SHARE * (total - linked))
+            size = linked + sum(len(rest[i]) + 1 for i in stuffed)
+    size = max(size, linked + best)
+    return min(1.0, size / total), min(1.0, linked / total)
+
+
+def _stuffed_by_others(rest: list[str], may: list[tuple[int, int]], keys: set[str], measures: Counter, least: float) -> set[int]:
+    """Those units of may, given with their words, that are stuffed by a word whose units add up to least characters, or by
+    a pair of words. The measure behind a number is no key, nor is a letter beside a slash."""
+    seen, pairs = Counter(), Counter()
+    for u in rest:
+        t = _token.findall(u)
+        seen.update(t)
+        pairs.update(zip(t, t[1:], strict=False))
+    keys = {w for w in keys if seen[w] >= 4 and measures[w] * 2 < seen[w]}
+    phrases = {p for p, n in pairs.items() if n >= 4 and p[0] in keys and p[1] in keys}
+    by_word: dict[str, set[int]] = {}
+    out: set[int] = set()
+    for i, k in may:
+        t = _token.findall(rest[i])
+        for w, h in Counter(w for w in t if w in keys).items():
+            if h * 4 >= k or h >= 2 and h * 8 >= k:
+                by_word.setdefault(w, set()).add(i)
+        many = Counter(p for p in zip(t, t[1:], strict=False) if p in phrases)
+        if any(h * 4 >= k or h >= 2 and h * 8 >= k for h in many.values()):
+            out.add(i)
+    for at in by_word.values():
+        if sum(len(rest[i]) + 1 for i in at) >= least:
+            out |= at
+    return out
 
 
 FIGURES = (
@@ -167,11 +228,12 @@ def figures(text: str) -> dict:
     full = [x for x in lines if x.n]
     flags = [f and not _link_line(x.text) for x, f in zip(full, prose_flags(full), strict=True)]
     n = len(words)
-    counts = Counter([w for w in words if len(w) >= 3 and w not in ALL_COMMON])
+    seen = Counter(words)
+    counts = Counter({w: c for w, c in seen.items() if len(w) >= 3 and w not in ALL_COMMON})
     content = sum(counts.values())
     # a word that comes once adds nothing to the sum of c log c
     entropy = 1 - sum([c * math.log(c) for c in counts.values() if c > 1]) / (content * math.log(content)) if content > 1 else 1.0
-    spam, links = spam_share(text, words, counts)
+    spam, links = spam_share(text, words, counts, seen)
     return {
         "language": language(words, text),
         "n_words": float(n),
@@ -182,7 +244,7 @@ def figures(text: str) -> dict:
         "not_prose": sum(x.n for x, f in zip(full, flags, strict=True) if not f) / chars if chars else 0.0,
         "density": max(counts.values(), default=0) / content if content else 0.0,
         "entropy": entropy,
-        "repetition": 1 - len(set(words)) / n if n else 0.0,
+        "repetition": 1 - len(seen) / n if n else 0.0,
         "spam": spam,
         "links": links,
     }

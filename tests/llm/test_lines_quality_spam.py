@@ -120,3 +120,14 @@ def test_spam_stays_spam_at_any_share(spark):
         assert {r.url for r in flag_spam(figs).where("is_spam").collect()} == {u for u, _ in spam}
     far = flag_spam(page_figures(pages(spark, prose + spam)))
     assert far.where("is_spam AND NOT outlier").count() == 0 and far.where("outlier AND NOT is_spam").count() == 0
+
+
+def test_all_key_words_count():
+    six = "\n".join(f"{a} {b} {c}" for b in ("kettle", "lamp", "sofa", "tent", "boot", "mug") for a in ("best", "cheap", "new") for c in ("online", "shop") * 2)
+    phrases = "\n".join(f"{x} offers {i % 5}" for i in range(5) for x in ("tall lamp", "red sofa", "wide tent", "dry boot", "blue mug", "old door", "big oven", "soft rug", "thin pan", "hot iron", "long rope", "flat desk"))
+    short = "\n".join(["tv kaufen tv neu tv", "pc kaufen pc alt pc", "tv laden tv", "pc laden pc"] * 12)
+    foreign = "The price of it is low. " + "\n".join(["war game war shop war", "die cast die set die", "war film war", "die box die"] * 12)
+    for text in (six, phrases, short, foreign):
+        assert figures(text)["spam"] > 0.5, text
+    amounts = "\n".join(f"{i * 7} {m} {a} {b}" for i, (m, a, b) in enumerate((m, a, b) for a in ("large", "small", "grey", "old", "warm", "thin", "wide", "odd", "raw", "dry") for b, m in zip(("oven", "lamp", "sofa", "tent", "boot", "mug", "desk", "rug", "pan", "rope"), ("kg", "g", "ml", "tsp", "x") * 2)))
+    assert figures(amounts)["spam"] <= 0.5 and figures(TABLE)["spam"] < 0.5 and figures(PROSE * 50)["spam"] == 0
