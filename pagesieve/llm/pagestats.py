@@ -111,7 +111,7 @@ def _link_line(line: str) -> bool:
     return found > 0 and (found * 10 >= len(bare) * 3 or bare.count(" ") < 16 and not _closes.search(bare))
 
 
-def spam_share(text: str, words: list[str], counts: Counter, seen: Counter) -> tuple[float, float]:
+def spam_share(text: str, counts: Counter, seen: Counter) -> tuple[float, float]:
     """(share of characters in stuffed units and link lines, share in link lines alone).
 
     A unit is a line or sentence. It is stuffed when a key word or key phrase of the page makes up a quarter of its
@@ -128,8 +128,7 @@ def spam_share(text: str, words: list[str], counts: Counter, seen: Counter) -> t
     stuffed: set[int] = set()
     best, measures = 0, None
     for key, n in counts.most_common(3):
-        # eight words to a hit at most: a key word as rare as this fills no third of the page
-        if n >= 4 and low.count(key) * 24 >= len(words):
+        if n >= 4:
             at = set()
             for i, unit in enumerate(rest):
                 if key in unit:
@@ -233,7 +232,7 @@ def figures(text: str) -> dict:
     content = sum(counts.values())
     # a word that comes once adds nothing to the sum of c log c
     entropy = 1 - sum([c * math.log(c) for c in counts.values() if c > 1]) / (content * math.log(content)) if content > 1 else 1.0
-    spam, links = spam_share(text, words, counts, seen)
+    spam, links = spam_share(text, counts, seen)
     return {
         "language": language(words, text),
         "n_words": float(n),

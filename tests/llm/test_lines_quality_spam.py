@@ -131,3 +131,11 @@ def test_all_key_words_count():
         assert figures(text)["spam"] > 0.5, text
     amounts = "\n".join(f"{i * 7} {m} {a} {b}" for i, (m, a, b) in enumerate((m, a, b) for a in ("large", "small", "grey", "old", "warm", "thin", "wide", "odd", "raw", "dry") for b, m in zip(("oven", "lamp", "sofa", "tent", "boot", "mug", "desk", "rug", "pan", "rope"), ("kg", "g", "ml", "tsp", "x") * 2)))
     assert figures(amounts)["spam"] <= 0.5 and figures(TABLE)["spam"] < 0.5 and figures(PROSE * 50)["spam"] == 0
+
+
+def test_thin_key_words_beside_links():
+    thin = "\n".join(f"{a}kettle {b}kettle and then {a} or {b} at one of our many other old town shops" for a, b in (("tea", "egg"), ("cat", "dog"), ("sun", "sea"), ("ice", "oak"), ("ash", "elm")))
+    plain = "The kettle is here now. A kettle came by. Our kettle fell. One kettle left again. " * 2 + " ".join(f"It was w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}n at it." for i in range(33))
+    links = "\n".join(f"//a.de/{i} a b c d e f http://b.de" for i in range(34))
+    text = "\n".join((links, thin, plain))
+    assert figures(text)["links"] < 0.5 < figures(text)["spam"]
