@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -342,21 +343,23 @@ _PLAIN = 5.0
 _MIXES = (0.1, 0.5, 0.9)
 
 
-def restore(text: str, share, logs) -> tuple[int, float, str] | None:
+def restore(text: str, share, logs, tilted: bool = True) -> tuple[int, float, str] | None:
     """(state, posterior, restored text) of a garbled record, None for a sound one. logs gives a cell's log chances
-    by state and what each state gains over a sound reading; share gives the chain shares when they are needed."""
+    by state and what each state gains over a sound reading; share gives the chain shares when they are needed.
+    tilted is False where no share is greater than that of sound text, so that nothing is garbled without a gain."""
     found = cells(text)
     gains: dict[int, float] = {}
     for c, n in Counter(c for c, _, _ in found).items():
         for state, gain in logs(c)[1]:
             gains[state] = gains.get(state, 0.0) + gain * min(n, ALIKE)
-    if not gains:
+    if not gains and not tilted:
         return None
     share = share()
-    # no mix of lines scores more than the gains of its cells together
-    if all(math.log(share[s]) + g < math.log(share[SOUND]) for s, g in gains.items()):
-        return None
     known = [(c, a, b, logs(c)[0]) for c, a, b in found]
+    # no mix of lines scores more than the gains of its cells together, and a state without any no more than its share
+    top = max((math.log(share[s]) + gains.get(s, 0.0) for s in {s for *_, g in known for s in g if s != SOUND}), default=-math.inf)
+    if top <= math.log(share[SOUND]):
+        return None
     if any(LOST in g for *_, g in known):
         best, sure = LOST, 1.0
     else:
@@ -391,9 +394,11 @@ def restore(text: str, share, logs) -> tuple[int, float, str] | None:
         sure = 1 - math.exp(score[SOUND] - top) / sum(math.exp(x - top) for x in score.values())
     # bytes lost can't be had, but a record with some may have others that a UTF-8 chain plainly explains
     out, at = [], 0
+    # where more text is garbled by the chain than sound, the shares speak for the chain in each cell
+    ahead = max(0.0, math.log(share[best]) - math.log(share[SOUND]))
     for c, a, b, g in known:
         if best != LOST:
-            state = best if g.get(best, -math.inf) > g[SOUND] else SOUND
+            state = best if g.get(best, -math.inf) + ahead > g[SOUND] else SOUND
         else:
             state = max((s for s in g if s not in (SOUND, LOST) and CHAINS[s - 1][1] == "utf-8" and g[s] > g[SOUND] + _PLAIN), key=g.get, default=SOUND)
         if state != SOUND:
@@ -403,6 +408,14 @@ def restore(text: str, share, logs) -> tuple[int, float, str] | None:
     return best, sure, "".join(out) + text[at:]
 
 
+def _tilted(shares: pa.Array, overall: list[float]) -> list[bool]:
+    """For each row whether some chain has a greater share than sound text; null shares stand for overall."""
+    out = np.full(len(shares), max(overall) > overall[SOUND])
+    own = np.asarray(shares.flatten()).reshape(-1, STATES)
+    out[np.asarray(shares.is_valid())] = own.max(1) > own[:, SOUND]
+    return out.tolist()
+
+
 def _mark(chance: Chances, overall: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[dict[int, float], list[tuple[int, float]]]] = {}
@@ -419,8 +432,9 @@ def _mark(chance: Chances, overall: list[float]):
 
         for batch in batches:
             rows, shares = [], batch.column("share")
+            tilted = _tilted(shares, overall)
             for k, (f, u, i, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("field", "url", "node_id", "text")), strict=True)):
-                got = restore(t, lambda k=k, shares=shares: shares[k].as_py() or overall, logs)
+                got = restore(t, lambda k=k, shares=shares: shares[k].as_py() or overall, logs, tilted[k])
                 if got is not None:
                     state, sure, text = got
                     chain = "bytes lost" if state == LOST else "{1} read as {0}".format(*CHAINS[state - 1]) + (" twice" if CHAINS[state - 1][2] > 1 else "")

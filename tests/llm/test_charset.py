@@ -1,6 +1,6 @@
 import pytest
 
-from pagesieve.llm.charset import CHAINS, cells, garbled, undo, undo_cell
+from pagesieve.llm.charset import CHAINS, SOUND, STATES, cells, garbled, restore, undo, undo_cell
 
 CLEAN = [
     "La fête célèbre a mesuré l’été près de la forêt étrange.", "Die schöne Straße führt über die große Brücke.", "A canção do avô começou na manhã de verão.",
@@ -61,3 +61,18 @@ def test_operator(spark):
     assert garbled(records(spark, [("http://a/", 1, "plain")])).count() == 0
     long = "\n".join(CLEAN * 3000)
     assert garbled(records(spark, [("http://a/", 1, long)])).count() == 0
+
+
+def test_shares_of_the_site_decide_without_a_gain():
+    text = _codec("é", "utf-8", "cp1252")
+    state = next(i for i, c in enumerate(CHAINS, 1) if c == ("cp1252", "utf-8", 1))
+    share = [1e-4] * STATES
+    share[state], share[SOUND] = 0.9, 0.05
+    # the cell is as likely sound, or a little likelier
+    for loss in (0.0, 0.5):
+        by = {SOUND: -3.0, state: -3.0 - loss}
+        got = restore(text, lambda: share, lambda c, by=by: (by, []))
+        assert got is not None and got[0] == state and got[2] == "é"
+    even = [0.9, *[0.1 / (STATES - 1)] * (STATES - 1)]
+    assert restore(text, lambda: even, lambda c: ({SOUND: -3.0, state: -3.5}, []), False) is None
+    assert restore(text, lambda: even, lambda c: ({SOUND: -3.0, state: -3.5}, [])) is None
