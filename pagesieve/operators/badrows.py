@@ -146,7 +146,8 @@ def _bisect(ids: pa.Array, raw: pa.Array, file_name: str, out: list[pa.RecordBat
     if cols is not None:
         out.append(_emit(ids, file_name, cols))
     elif len(ids) == 1:
-        singles.append((ids[0].as_py(), file_name, raw[0].as_py()))
+        # diagnose() takes a final carriage return off; the record has lost its own
+        singles.append((ids[0].as_py(), file_name, raw[0].as_py() + "\r"))
     else:
         half = len(ids) // 2
         _bisect(ids[:half], raw[:half], file_name, out, singles)

@@ -80,3 +80,11 @@ def test_table(spark):
     assert separate(df.limit(0))[0].count() == 0
     long = spark.createDataFrame([(1, "TextNodes.csv", f"{U},1," + "y" * 3_000_000)], "row_id LONG, file_name STRING, raw STRING")
     assert separate(long)[0].first().text == "y" * 3_000_000
+
+
+@pytest.mark.parametrize("file_name,record,reason", [("inference_test.tsv", f"{U}\t5\tPrimary\r\r", "value"), ("GoldLabels.csv", f"{U},5,a,true\r\r", "value"), ("TextNodes.csv", f"{U},5,a\r\r", None)])
+def test_one_final_carriage_return(file_name, record, reason):
+    batch = pa.record_batch([pa.array([1], pa.int64()), pa.array([file_name]), pa.array([record])], ["row_id", "file_name", "raw"])
+    (row,) = pa.Table.from_batches(parse_batch(batch)).to_pylist()
+    assert row["reason"] == reason == diagnose(record, file_name)[0]
+    assert row["text"] == ("a\r" if reason is None else None)
