@@ -1,110 +1,106 @@
-"""Links between near-duplicate texts, given as sets of hashed word shingles.
-
-Candidates come from SimHash tables, one for each quarter of a 64-bit SimHash, and, as near-duplicates of 0.8 may
-differ in more bits than tables can be keyed by, from an exact index of rare shingles: two sets with a Jaccard
-similarity of at least t share one of the n - ceil(t n) + 1 rarest shingles of each. A bucket of either kind is
-cut into blocks of bounded size and pairs of blocks are compared in separate tasks; only links that pass the
-similarity test leave a task, and of those a spanning forest.
+"""Near-duplicates of labelled texts, given as sets of hashed word shingles.
+
+Candidates come from SimHash tables, one for each quarter of a 64-bit SimHash with a key that widens with the number
+of texts, and, as near-duplicates of 0.8 may differ in more bits than tables can be keyed by, from an exact index of
+prefixes: under one order of all shingles, two sets with a Jaccard similarity of at least t share one of the first
+n - ceil(t n) + 1 of each. Only labelled texts look for partners, and only among texts without a label, round by round
+until nothing is added, so that the labels fill their connected components without all pairs of any group.
+Tables and prefixes carry ids and numbers; the sets themselves are joined once a candidate pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.session import stage
+from pagesieve.session import keyed_join, stage
 
+SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits in which two SimHashes of a table's bucket may differ before their texts are compared.
+#: Bits in which two SimHashes of a table may differ before their texts are compared; the prefixes find what lies beyond.
 HAMMING = 20
-#: Rows of a bucket compared in one block.
-BLOCK = 1000
-_MASK = (1 << 64) - 1
 #: A similarity that is met exactly counts, whatever its float product.
 _SLACK = 1e-9
-
-
-def simhash(shingles: np.ndarray) -> int:
+_M, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
+_known: dict[str, int] = {}
+
+
+def shingles(words: list[str], size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of words; of all words where they are fewer."""
+    if len(_known) > 200_000:
+        _known.clear()
+    for w in set(words).difference(_known):
+        _known[w] = xxhash.xxh64_intdigest(w)
+    size = min(size, len(words))
+    if not size:
+        return np.zeros(0, np.int64)
+    word, h = np.array(list(map(_known.__getitem__, words)), np.uint64), np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        h = (h ^ word[i : i + len(h)]) * _M
+        h ^= h >> _S
+    h = np.sort(h.view(np.int64))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def simhash(sorted_hashes: np.ndarray) -> int:
     """64-bit SimHash of an array of 64-bit hashes."""
-    if not len(shingles):
+    if not len(sorted_hashes):
         return 0
-    bits = np.unpackbits(shingles.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(0) * 2 > len(shingles)).view(np.int64)[0])
-
-
-def _links(rows: list[tuple[int, int, frozenset]], crossed: list[int], similarity: float, hamming: int = 64) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs whose SimHashes differ in few enough bits; crossed has each row's block, and
-    with two blocks only pairs across count."""
-    parent = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    out, two = [], len(set(crossed)) > 1
-    order = sorted(range(len(rows)), key=lambda i: len(rows[i][2]))
-    for x, i in enumerate(order):
-        a, sa, set_a = rows[i]
-        for j in order[x + 1 :]:
-            b, sb, set_b = rows[j]
-            if len(set_a) < similarity * len(set_b) - _SLACK:
-                break
-            if two and crossed[i] == crossed[j] or ((sa ^ sb) & _MASK).bit_count() > hamming or root(i) == root(j):
-                continue
-            common = len(set_a & set_b)
-            if common >= similarity * (len(set_a) + len(set_b) - common) - _SLACK:
-                parent[root(i)] = root(j)
-                out.append((min(a, b), max(a, b)))
-    return out
-
-
-def _compare(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, crossed = None, [], []
-
-        def done() -> pa.RecordBatch:
-            # the rare-shingle index finds what the SimHash tables give up here
-            links = _links(rows, crossed, similarity, 64 if group[3] else HAMMING)
-            return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "low", "high", "rare", "block", "id", "sim", "shingles")]
-            for bucket, low, high, rare, block, i, sim, shingles in zip(*cols, strict=True):
-                if (bucket, low, high, rare) != group:
-                    if len(rows) > 1:
-                        yield done()
-                    group, rows, crossed = (bucket, low, high, rare), [], []
-                rows.append((i, sim, frozenset(shingles)))
-                crossed.append(block)
-        if len(rows) > 1:
-            yield done()
-
-    return run
-
-
-def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) links that connect whatever near-duplicates connect, from texts (id, sim, shingles): distinct sets."""
-    texts = stage(texts.where(F.size("shingles") > 0), "texts")
-    tables = texts.select("id", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftrightunsigned("sim", 16 * t).bitwiseAND(F.lit(0xFFFF)).alias("v")) for t in range(4)))).alias("k"))
-    tables = tables.select("id", F.xxhash64("k.t", "k.v").alias("bucket"), F.lit(False).alias("rare"))
-    each = texts.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
-    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # a shingle of one text can't link; a text's rare ones come first, ties by hash, in one order for all texts
-    kept = each.join(often, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ranked = kept.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    prefix = F.slice("gs", 1, (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - _SLACK) + 1).cast("int"))
-    rare = ranked.select("id", F.explode(prefix).alias("x")).where("x.df > 1").select("id", F.col("x.g").alias("bucket"), F.lit(True).alias("rare"))
-    entries = stage(tables.unionByName(rare).distinct(), "entries")
-    sizes = entries.groupBy("bucket", "rare").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = entries.join(sizes, ["bucket", "rare"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("bucket", "rare", "block", "id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = paired.join(texts, "id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rare", "id")
-    return rows.select("bucket", "low", "high", "rare", "block", "id", "sim", "shingles").mapInArrow(_compare(similarity), "a BIGINT, b BIGINT").distinct()
-
+    bits = np.unpackbits(sorted_hashes.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(bits.sum(0) * 2 > len(sorted_hashes)).view(np.int64)[0])
+
+
+def prefix(sorted_hashes: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """The first hashes, one of which every set of that similarity holds among its own first."""
+    n = len(sorted_hashes)
+    return sorted_hashes[: n - math.ceil(similarity * n - _SLACK) + 1].tolist() if n else []
+
+
+def _entries(nodes: DataFrame, bits: int) -> DataFrame:
+    """(id, sim, n, rare, key): each text under its prefix and in the four tables."""
+    turned = lambda t: F.shiftleft("sim", 64 - 16 * t).bitwiseOR(F.shiftrightunsigned("sim", 16 * t)) if t else F.col("sim")
+    tables = [F.struct(F.lit(False).alias("rare"), F.xxhash64(F.lit(t), turned(t).bitwiseAND(F.lit((1 << bits) - 1))).alias("key")) for t in range(4)]
+    rare = F.transform("keys", lambda k: F.struct(F.lit(True).alias("rare"), k.alias("key")))
+    return nodes.where("n > 0").select("id", "sim", "n", F.explode(F.concat(rare, F.array(*tables))).alias("e")).select("id", "sim", "n", "e.rare", "e.key")
+
+
+def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return common >= F.lit(similarity) * (F.size(a) + F.size(b) - common) - _SLACK
+
+
+def reached(nodes: DataFrame, labelled: DataFrame, sets: Callable[[DataFrame, int], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root) of the labelled ids and all that links lead to from them; root is the least labelled id it was first
+    reached from.
+
+    nodes has id, sim, n and keys (the prefix), one row a distinct text; sets gives (id, shingles) for a frame of ids and
+    its bytes.
+    """
+    total = nodes.count()
+    bits = min(48, max(16, math.ceil(math.log2(max(total, 1)))))
+    done = stage(labelled.select("id", F.col("id").alias("root")), "reached")
+    front, n = done, done.count()
+    while n:
+        mine = keyed_join(nodes, front, ["id"], n * 24, F.col("id"))
+        mine = _entries(mine, bits).join(front, "id").select(F.col("id").alias("a"), "root", F.col("sim").alias("sim_a"), F.col("n").alias("n_a"), "rare", "key")
+        mine = stage(mine, "front")
+        others = nodes.join(done.select("id"), "id", "left_anti")
+        both = keyed_join(_entries(others, bits), mine, ["key", "rare"], mine.count() * 48, F.col("id"))
+        near = F.col("rare") | (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_a"))) <= HAMMING)
+        sized = F.least("n", "n_a") >= F.lit(similarity) * F.greatest("n", "n_a") - _SLACK
+        pairs = stage(both.where(near & sized).select("a", "id", "root").distinct(), "pairs")
+        m = pairs.count()
+        if not m:
+            break
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("id")).distinct()
+        texts = stage(sets(stage(ids, "ids"), m * 32), "sets")
+        left = pairs.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(texts, "id")
+        front = stage(left.where(similar(F.col("x"), F.col("shingles"), similarity)).groupBy("id").agg(F.min("root").alias("root")), "found")
+        n = front.count()
+        done = stage(done.unionByName(front), "reached")
+    return done

@@ -1,33 +1,36 @@
 """Documents that hold template residue or an error page where content should be.
 
-Each document is cut into lines and sentences. Those that match a trusted sign (unfilled fields, filler words,
-error messages, script notices) are residue; the rest of its sentences are its own text. A document with a full
-text of its own is no case whatever else stands in it, so only the others enter the near-duplicate graph: their
-masked texts are collapsed into classes of equal text, linked by SimHash tables and a rare-shingle index, and the
-trusted labels travel through the connected components.
+Each document is cut into passages, its sentences and short lines, with unfilled fields, numbers, paths and names masked.
+A few trusted signs (unfilled fields, filler words, status lines, script notices) mark passages, and a document that
+such passages lead, without a full text of its own, is residue. Labels then travel in two ways: a passage that stands
+in several different texts led by signs and hardly anywhere else is residue too and nobody's own text, so that the long
+wording of an error page is no full text, and documents made of such passages are residue; and a document linked to a residue document, over any number of links, is residue. Links come from SimHash tables and, as
+near-duplicates of 0.8 may differ in more bits than tables can be keyed by, an exact index of shingle prefixes; both are
+verified. Every text is read to its end and every document stands in the tables, whatever its length.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
-import numpy as np
+import ahocorasick
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.components import connected_components
-from pagesieve.llm.neardup import near_links, simhash
+from pagesieve.llm.neardup import prefix, reached, shingles, simhash
 from pagesieve.llm.pagestats import ALL_COMMON, Line, prose_flags
-from pagesieve.session import BROADCAST_LIMIT, stage
+from pagesieve.session import keyed_join, stage
 
-#: A document with so many words of its own in sentences has a full text.
-FULL_TEXT = 40
-SHINGLE = 5
-SALTS = 32
+#: A document with so many words of its own in sentences that are no residue has a full text; so has one with LONG_TEXT words in
+#: sentences without a sign, even if other documents hold the same ones.
+FULL_TEXT, LONG_TEXT = 40, 90
+#: A passage without a sign is residue if so many different texts that signs lead hold it, and these are this share of all that do.
+SUPPORT, CERTAINTY = 3, 0.9
 
 # Unfilled template fields.
 FIELD = (
@@ -40,49 +43,51 @@ FILLER = frozenset(
     "nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat "
     "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae porta augue massa felis".split()
 )
-# Wording of error pages, script notices and editor stubs, in the languages of web servers and frameworks.
+# Wording of status lines, script notices and editor stubs, in the languages of web servers and frameworks.
 SIGNS = (
     r"\b[45]\d\d\b\W{0,4}(?:not found|forbidden|bad gateway|bad request|unauthorized|service|gateway|internal|page|error|erreur|fehler|erro)"
     r"|\b(?:http |erreur |error |fehler |erro |ошибка |код )[45]\d\d\b|error \(?[45]\d\d|\([45]\d\d\)\s*$"
     r"|page (?:not found|can[’']t be found|cannot be found|does not exist)|page\b.{0,80}\bintrouvable|seite (?:wurde )?nicht gefunden|página no encontrada|página não encontrada|страница не найдена"
     r"|\bforbidden\b|access denied|accès refusé|zugriff verweigert|acceso denegado|acesso negado|доступ запрещ"
-    r"|(?:could not|cannot|can[’']t|unable to|failed to) connect|too many connections|connection failed|database (?:error|failure|unavailable)|(?:error|erro|errore) interno|internal error|внутренняя ошибка|ошибка сервера"
-    r"|(?:page|story|article|content|item|document|file|resource|post|link)\b.{0,60}\b(?:(?:has been|was|were) (?:re)?moved|(?:is )?no longer (?:available|exists?|here)|has expired|is not available|could not be found)"
-    r"|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|temporarily unavailable|down for maintenance|under maintenance|maintenance mode|internal server error|interner serverfehler|erreur interne"
-    r"|fatal error|stack trace|traceback \(most|uncaught \w*(?:error|exception)|undefined (?:index|variable|method|offset)|call to undefined|sqlstate|database (?:connection )?error|error establishing|connection (?:refused|timed out|reset)"
+    r"|(?:page|story|article|content|item|document|file|resource|post|link)\b.{0,60}\b(?:(?:has been|was|were) removed|(?:is )?no longer (?:available|exists?|here)|has expired|could not be found)"
+    r"|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|under maintenance|maintenance mode|internal (?:server )?error|interner serverfehler|erreur interne|(?:error|erro|errore) interno|внутренняя ошибка|ошибка сервера"
+    r"|fatal error|stack trace|traceback \(most|uncaught \w*(?:error|exception)|undefined (?:index|variable|method|offset)|call to undefined|sqlstate|database (?:connection )?(?:error|failed|failure|unavailable)|error establishing|connection (?:refused|timed out|reset|failed)|too many connections"
     r"|session (?:has |is )?(?:expired|ended)|session expirée|sitzung (?:ist )?abgelaufen|sesión (?:ha )?(?:caducado|expirado)|sessão expir|сеанс (?:истёк|истек)"
-    r"|\[object object\]|^\W*(?:undefined|null|nan|none)(?:\W+(?:undefined|null|nan|none))*\W*$|error code\W"
-    r"|something went wrong while|got no valid answer|do not have permission to view|the address \S+ does not exist"
+    r"|\[object object\]|^\W*(?:undefined|null|nan|none)(?:\W+(?:undefined|null|nan|none))*\W*$"
     r"|javascript|\bjava script\b|(?:support|enable|allow|activate|turn on|block)\w*\W+(?:\w+\W+){0,3}scripts?\b|scripts? (?:is|are) (?:required|disabled|blocked|needed)"
-    r"|checking (?:your|the|that your|if the|if your) (?:browser|connection|site)|verify(?:ing)? (?:that )?you are (?:a )?human|verifying your browser|are you a robot|ddos protection|enable cookies and reload"
+    r"|checking (?:your|the|that your|if the|if your) (?:browser|connection|site)|verify(?:ing)? (?:that )?you are (?:a )?human|verifying your browser|are you a robot|ddos protection"
     r"|untitled document|enter text here|add a subtitle|your (?:title|text|content) here|click to (?:edit|add)|insert (?:text|title|image) here|sample (?:text|page|content)\b|placeholder text|(?:title|subtitle|text|content|headline|caption|image|name) (?:goes )?here\b|replace this (?:text|title|image)|dummy (?:text|paragraph|content|copy)|insert your \w+|write something about|tell us about yourself|describe yourself here|texte ici|text hier eingeben|escriba aquí|texto aqui"
 )
 # One of these stands in whatever SIGNS match, besides a number from 400 to 599; they spare most lines the match.
 HINTS = (
     "page", "seite", "página", "страница", "forbidden", "denied", "refus", "verweigert", "denegado", "negado", "доступ", "gateway", "unavailable", "maintenance",
-    "internal server", "serverfehler", "erreur interne", "fatal error", "stack trace", "traceback", "uncaught", "undefined", "sqlstate", "database", "establishing",
-    "connection", "session", "sitzung", "sesión", "sessão", "сеанс", "object object", "null", "nan", "none", "error code", "something went", "valid answer",
-    "permission to", "the address", "javascript", "script", "checking", "verify", "robot", "ddos", "enable cookies", "untitled", "enter text", "subtitle", " here",
-    "click to", "insert ", "sample ", "placeholder", "texte ici", "eingeben", "escriba", "texto aqui", "replace this", "error (", "connect", "interno", "internal error", "ошибка", "removed", "moved", "no longer", "expired", "not available", "not be found",
-    "database", "dummy ", "insert your", "write something", "yourself", "error 4", "error 5",
+    "serverfehler", "erreur interne", "fatal error", "stack trace", "traceback", "uncaught", "undefined", "sqlstate", "database", "establishing",
+    "connection", "session", "sitzung", "sesión", "sessão", "сеанс", "object object", "null", "nan", "none", "javascript", "java script", "script", "checking", "verify", "robot", "ddos",
+    "untitled", "enter text", "subtitle", " here", "click to", "insert ", "sample ", "placeholder", "texte ici", "eingeben", "escriba", "texto aqui", "replace this", "interno",
+    "internal", "внутренняя ошибка", "ошибка", "removed", "no longer", "expired", "not be found", "dummy ", "write something", "yourself", "error 4", "error 5",
 )
 # Lines that may stand beside residue and say nothing by themselves.
 IDLE = re.compile(r"^\W*(?:loading|please wait|one moment|just a moment|wait|chargement|laden|bitte warten|cargando|carregando|загрузка|veuillez patienter|aguarde)\W*$", re.I)
 TRACE = re.compile(r"^\W*(?:#\d+\s|at\s+[\w$.<>]+\s*\(|file\s+\S+.*\(\S+:\d+\)|\S+\.(?:php|js|py|rb|java|inc)\b.{0,30}\d)", re.I)
-CHROME = re.compile(r"[|·›»/–]\s|©|\bcopyright\b|all rights reserved", re.I)
+CHROME = re.compile(r"[|·›»/–]\s|©|\bcopyright\b|all rights reserved|alle rechte vorbehalten|derechos reservados|direitos reservados|droits réservés", re.I)
 
 _field, _signs = re.compile(FIELD), re.compile(SIGNS, re.I)
 _opens, _status = re.compile(r"[{%*\[<_@|~]"), re.compile(r"[45]\d\d")
 _quoted = re.compile(r"[“\"«„‘'][^”\"»“’']{1,60}[”\"»“’']")
 _same = re.compile(r"\W*(\w+)(?:\W+\1){2,}\W*", re.I)
 _unit = re.compile(r"(?<=[.!?…])[”\"»]?\s+")
-_word = re.compile(r"[^\W\d_]+")
-_mask = re.compile(r"\S*[\d/\\@]\S*")
-_loose = re.compile(r"\w+|[{}]+")
+_mask = re.compile(r"(?<!\S)(?=\S*[\d/\\@])\S+")
+_loose = re.compile(r"\w+|[{}]+|\n")
+_hints = ahocorasick.Automaton()
+for _h in HINTS:
+    _hints.add_word(_h, _h)
+_hints.make_automaton()
 
 
 def filler(words: list[str], least: int = 3) -> bool:
     """Whether words are filler: some of the usual ones, a twelfth at least, and hardly a function word among the rest."""
+    if FILLER.isdisjoint(words):
+        return False
     seen = [w for w in words if w in FILLER]
     if len(seen) < least or len(seen) * 12 < len(words):
         return False
@@ -90,125 +95,197 @@ def filler(words: list[str], least: int = 3) -> bool:
     return len(set(seen)) >= min(least, 3) and sum(w in ALL_COMMON for w in rest) * 10 <= len(words)
 
 
+def _hinted(text: str) -> bool:
+    """Whether a sign may stand in the text: every sign has an opening mark, a status number or a hint."""
+    return bool(_opens.search(text) or _status.search(text)) or next(_hints.iter(text.lower()), None) is not None
+
+
 def is_residue(unit: str) -> bool:
     """Whether a line or sentence is residue by a trusted sign. Signs that are quoted are talked about."""
     if _opens.search(unit) and _field.search(unit) or _same.fullmatch(unit):
         return True
-    low = unit.lower()
-    if not _status.search(unit) and not any(h in low for h in HINTS):
+    if not _status.search(unit) and next(_hints.iter(unit.lower()), None) is None:
         return False
     return bool(_signs.search(unit)) and bool(_signs.search(_quoted.sub(" ", unit)))
 
 
-def look(text: str) -> tuple[int, list[str]] | None:
-    """(words of residue, masked words of all but menu and footer lines) of a document without a full text of its
-    own; None as soon as its own sentences, each counted once, make a full text. A sentence that fills half of the
-    document by three copies or more is filler, and a stack trace is an error message."""
-    raw = [x for x in text.split("\n") if x.strip()]
-    parsed: dict[int, Line] = {}
-    residue, own, kept, chrome, weak, traces = 0, 0, [], [], 3, 0
-    sentences: Counter = Counter()
+@dataclass
+class Look:
+    """What stands in one document: its masked words, and of each passage the masked words, the number of words, whether a
+    sign marks it, and whether it is prose; and whether a sign stands in the first lines."""
+
+    words: list[str] = field(default_factory=list)
+    passages: list[tuple[str, int, bool, bool]] = field(default_factory=list)
+    leads: bool = False
 
-    def line(i: int) -> Line:
-        if i not in parsed:
-            parsed[i] = Line(raw[i])
-        return parsed[i]
 
-    for i, x in enumerate(raw):
-        if IDLE.search(x):
+def _masked(units: list[str]) -> list[list[str]]:
+    """The words of each unit, with fields, numbers, paths and names inside sentences masked."""
+    text = "\n".join(units)
+    if _opens.search(text):
+        text = _field.sub("{}", text)
+    capitals = [u.isupper() for u in units]
+    out: list[list[str]] = [[]]
+    got, at, start = out[0], 0, True
+    words = _loose.findall(_mask.sub("0", text))
+    words.append("\n")
+    for i, w in enumerate(words):
+        if w == "\n":
+            got, at, start = [], at + 1, True
+            out.append(got)
             continue
-        low = max(0, i - 1)
-        me = line(i)
-        prose = prose_flags([line(k) for k in range(low, min(len(raw), i + 2))])[i - low]
-        hit = False
-        if filler(me.words, weak):
-            hit, weak = True, 1
-            residue += len(me.words)
-        elif is_residue(x):
-            hit = True
-            units = _unit.split(x)
-            marks = [is_residue(u) for u in units]
-            if not any(marks):
-                marks = [True] * len(marks)
-            for u, mark in zip(units, marks, strict=True):
-                n = len(_word.findall(u))
-                if mark:
-                    residue += max(n, 1)
-                elif prose:
-                    own += n
-        elif TRACE.search(x):
-            traces += 1
-        elif prose:
-            for u in _unit.split(x) if len(me.words) > 3 else (x,):
-                u = u.strip().lower()
-                sentences[u] += 1
-                if sentences[u] == 1:
-                    own += len(_word.findall(u))
-        if own >= FULL_TEXT:
-            return None
-        menu = not hit and not me.closes and (bool(CHROME.search(x)) or not prose and len(me.words) <= 8)
-        (chrome if menu else kept).append(x)
-    if sentences and (most := max(sentences, key=lambda u: (sentences[u], u))):
-        copies = sentences[most] * len(_word.findall(most))
-        if sentences[most] >= 3 and copies * 2 >= sum(n * len(_word.findall(u)) for u, n in sentences.items()):
-            residue += copies
-    if traces >= 2:
-        residue += traces
-    masked = _loose.findall(_mask.sub("0", _field.sub("{}", "\n".join(kept or chrome))).lower())
-    return residue, masked
-
-
-def _digest(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(words)) - (1 << 63)
-
-
-def shingles(words: list[str]) -> list[int]:
-    n = max(1, len(words) - SHINGLE + 1)
-    return sorted({_digest(words[i : i + SHINGLE]) for i in range(n)})
+        low = w.lower()
+        # a name starts a sentence only before another capital
+        if low == w or capitals[at] or start and words[i + 1].lower() == words[i + 1]:
+            got.append(low)
+        elif not got or got[-1] != "N":
+            got.append("N")
+        start = False
+    return out[:-1]
+
+
+def look(text: str) -> Look:
+    """The passages of a whole text but for its menu and footer lines. A filler line, a sentence that fills half of the document
+    by three copies or more, and a stack trace are marked like signs; a copy of a sentence is no prose of its own."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    parsed = [Line(x) for x in lines]
+    flags = prose_flags(parsed)
+    hinted = _hinted(text)
+    units: list[str] = []
+    facts: list[list] = []  # line, signed, prose, whether a trace
+    chrome: list[str] = []
+    weak, seen = 3, set()
+    for at, (x, me, prose) in enumerate(zip(lines, parsed, flags, strict=True)):
+        short = len(me.words) <= 3
+        if short and IDLE.search(x):
+            continue
+        filled = filler(me.words, weak)
+        trace = not me.closes and bool(TRACE.search(x))
+        signed = not filled and not trace and (hinted or len(set(me.words)) == 1) and is_residue(x)
+        if not (filled or trace or signed or me.closes) and (not prose and len(me.words) <= 8 or CHROME.search(x)):
+            chrome.append(x.strip())
+            continue
+        parts = [x.strip()] if short else [u.strip() for u in _unit.split(x) if u.strip()]
+        if filled:
+            marks, weak = [True] * len(parts), 1
+        elif signed:
+            marks = [is_residue(u) for u in parts]
+            marks = marks if any(marks) else [True] * len(parts)
+        else:
+            marks = [False] * len(parts)
+        for u, mark in zip(parts, marks, strict=True):
+            low = u.lower()
+            units.append(u)
+            facts.append([at, mark, prose and low not in seen, trace])
+            seen.add(low)
+    if units and len(seen) * 2 < len(units) + 2:
+        copies = Counter(map(str.lower, units))
+        most = max(copies, key=lambda u: (copies[u], u))
+        if copies[most] >= 3 and copies[most] * len(most) * 2 >= sum(map(len, units)):
+            for u, f in zip(units, facts, strict=True):
+                f[1] |= u.lower() == most
+    if sum(f[3] for f in facts) >= 2:
+        for f in facts:
+            f[1] |= f[3]
+    words = _masked(units or chrome)
+    got = Look([w for u in words for w in u])
+    if units:
+        got.passages = [(" ".join(w), max(1, len(w)), mark, prose) for w, (_, mark, prose, _) in zip(words, facts, strict=True)]
+        places = list(dict.fromkeys(f[0] for f in facts))[:2]
+        got.leads = any(f[1] for f in facts if f[0] in places)
+    return got
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+_LOOKED = "doc_id BIGINT, class_id BIGINT, sim BIGINT, n INT, keys ARRAY<BIGINT>, p ARRAY<BIGINT>, size ARRAY<INT>, signed ARRAY<BOOLEAN>, prose ARRAY<BOOLEAN>, leads BOOLEAN"
 
 
 def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.bool_())
+    names = [x.split()[0] for x in _LOOKED.split(", ")]
     for batch in batches:
-        ids, marked, classes, sims, sets = [], [], [], [], []
+        rows = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             got = look(text)
-            if got is None or not got[1]:
-                continue
-            residue, masked = got
-            ids.append(i)
-            marked.append(residue > 0)
-            s = shingles(masked)
-            sets.append(s)
-            classes.append(_digest(masked))
-            sims.append(simhash(np.array(s, np.int64)))
-        yield pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array(marked, pa.bool_()), pa.array(classes, pa.int64()), pa.array(sims, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-            ["doc_id", "marked", "class_id", "sim", "shingles"],
-        )
+            if got.words:
+                s = shingles(got.words)
+                ps = got.passages
+                rows.append((i, _digest(" ".join(got.words)), simhash(s), len(s), prefix(s), [_digest(p) for p, *_ in ps], [n for _, n, _, _ in ps], [m for *_, m, _ in ps], [x for *_, x in ps], got.leads))
+        cols = zip(*rows, strict=True) if rows else [()] * len(names)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [look(t).words for t in batch.column(0).to_pylist()]
+        ids = pa.array([_digest(" ".join(w)) for w in words], pa.int64())
+        yield pa.record_batch([ids, pa.array([shingles(w).tolist() for w in words], pa.list_(pa.int64()))], ["id", "shingles"])
+
+
+def _total(keep: Callable[[Column], Column], trusted: Column | None = None) -> Column:
+    """Words of those passages of a text that are kept, by their flags t (trusted), m (signed) and x (prose)."""
+    zipped = F.arrays_zip(F.col("size").alias("n"), (F.col("signed") if trusted is None else trusted).alias("t"), F.col("signed").alias("m"), F.col("prose").alias("x"))
+    return F.aggregate(zipped, F.lit(0), lambda a, z: a + F.when(keep(z), z["n"]).otherwise(0))
+
+
+def _led(trusted: Column | None = None) -> Column:
+    """Whether trusted passages lead a text: half of its words, or in its first lines."""
+    part = _total(lambda z: z["t"], trusted)
+    return (part > 0) & ((part * 2 >= F.aggregate("size", F.lit(0), lambda a, x: a + x)) | F.col("leads"))
+
+
+def _residue(trusted: Column | None = None) -> Column:
+    return _led(trusted) & (_total(lambda z: z["x"] & ~z["t"], trusted) < FULL_TEXT) & (_total(lambda z: z["x"] & ~z["m"]) < LONG_TEXT)
+
+
+def _classes(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, labels): one row for each masked text, and those that passages alone make residue, with how."""
+    classes = stage(looked.dropDuplicates(["class_id"]).drop("doc_id").withColumn("led", _led()).withColumn("sure", _residue()), "classes")
+    labels = classes.where("sure").select("class_id", F.lit("signs").alias("how"))
+    spread = F.col("class_id")
+    every = classes.select("class_id", F.explode(F.array_distinct("p")).alias("p"))
+    led = classes.where("led").select("class_id", F.explode(F.array_distinct("p")).alias("p"))
+    while True:
+        # passages that stand in texts led by signs, then how many texts of any kind hold them
+        often = stage(led.groupBy("p").agg(F.count(F.lit(1)).alias("led")).where(F.col("led") >= SUPPORT), "often")
+        held = keyed_join(every, often, ["p"], often.count() * 32, spread).groupBy("p").agg(F.count(F.lit(1)).alias("texts"), F.first("led").alias("led"))
+        sure = stage(held.where(F.col("led") >= CERTAINTY * F.col("texts")).select("p"), "sure")
+        hits = keyed_join(every, sure, ["p"], sure.count() * 16, spread).groupBy("class_id").agg(F.collect_set("p").alias("ps"))
+        rest = classes.where("NOT sure").join(hits, "class_id").join(labels.select("class_id"), "class_id", "left_anti")
+        known = F.zip_with("signed", F.transform("p", lambda x: F.array_contains("ps", x)), lambda a, b: a | b)
+        more = stage(rest.where(_residue(known)).select("class_id", "p", "led"), "more")
+        if not more.count():
+            return classes, labels
+        labels = stage(labels.unionByName(more.select("class_id", F.lit("passages").alias("how"))), "labels")
+        led = stage(led.unionByName(more.where("NOT led").select("class_id", F.explode(F.array_distinct("p")).alias("p"))), "led")
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, class_id, component, trusted) of the documents that are residue: trusted by their own signs, or
-    near-duplicates, over any number of links, of such a document. component is null where nothing is linked.
+    """(doc_id, class_id, component, how) of the documents that are residue: how is `signs` where trusted signs show it, `passages`
+    where it is made of passages of other residue documents, `links` where it is a near-duplicate, over any number of
+    links, of a residue document; component is the least class that its label comes from.
 
     documents has doc_id and text; other columns are ignored. Null, empty and blank texts are no cases; copies are
     cases together; no rows in, no rows out.
     """
-    short = documents.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_looked, "doc_id BIGINT, marked BOOLEAN, class_id BIGINT, sim BIGINT, shingles ARRAY<BIGINT>")
-    short = stage(short, "short")
-    classes = stage(short.groupBy("class_id").agg(F.max("marked").alias("marked"), F.first("sim").alias("sim"), F.first("shingles").alias("shingles")), "classes")
-    links = near_links(classes.select(F.col("class_id").alias("id"), "sim", "shingles"))
-    components = connected_components(links)
-    labelled = classes.select("class_id", "marked").join(components, F.col("class_id") == F.col("node"), "left").select("class_id", "marked", "component")
-    labelled = stage(labelled, "labelled")
-    good = labelled.where("component IS NOT NULL").groupBy("component").agg(F.max("marked").alias("reached")).where("reached")
-    cases = labelled.join(good, "component", "left").where("marked OR reached").select("class_id", "component", F.col("marked").alias("trusted"))
-    cases = stage(cases, "cases")
-    if cases.count() * 24 <= BROADCAST_LIMIT:
-        return short.select("doc_id", "class_id").join(F.broadcast(cases), "class_id").select("doc_id", "class_id", "component", "trusted")
-    salted = cases.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    docs = short.select("doc_id", "class_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_salt"))
-    return docs.join(salted, ["class_id", "_salt"]).select("doc_id", "class_id", "component", "trusted")
+    texts = documents.where("text IS NOT NULL").select("doc_id", "text")
+    looked = stage(texts.mapInArrow(_looked, _LOOKED), "looked")
+    classes, labels = _classes(looked)
+    nodes = classes.select(F.col("class_id").alias("id"), "sim", "n", "keys")
+
+    def sets(ids: DataFrame, size: int) -> DataFrame:
+        """Shingle sets of some classes, read again from one document of each."""
+        first = keyed_join(looked.select("doc_id", F.col("class_id").alias("id")), ids, ["id"], size, F.col("doc_id")).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+        found = keyed_join(texts, first.select("doc_id").distinct(), ["doc_id"], size, F.col("doc_id")).select("text").mapInArrow(_sets, "id BIGINT, shingles ARRAY<BIGINT>")
+        return found.dropDuplicates(["id"])
+
+    linked = reached(nodes, labels.select(F.col("class_id").alias("id")), sets)
+    cases = linked.select(F.col("id").alias("class_id"), F.col("root").alias("component")).join(labels, "class_id", "left")
+    cases = stage(cases.withColumn("how", F.coalesce("how", F.lit("links"))), "cases")
+    return keyed_join(looked.select("doc_id", "class_id"), cases, ["class_id"], cases.count() * 32, F.col("doc_id"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

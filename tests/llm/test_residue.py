@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from pagesieve.llm import neardup
-from pagesieve.llm.components import connected_components
-from pagesieve.llm.neardup import near_links, simhash
+from pyspark.sql import functions as F
+
+from pagesieve import session
+from pagesieve.llm.neardup import prefix, reached, shingles, simhash
 from pagesieve.llm.residue import is_residue, look, residue_documents, without_residue
 
 PROSE = (
@@ -29,13 +30,22 @@ def test_no_signs(text):
     assert not is_residue(text)
 
 
+def parts(text):
+    """(words of signed passages, words of other prose)"""
+    ps = look(text).passages
+    return sum(n for _, n, mark, _ in ps if mark), sum(n for _, n, mark, prose in ps if prose and not mark)
+
+
 def test_look():
-    assert look(PROSE) is None and look(PROSE + "\nIn the template, write {{date}} here.") is None and look("Please enable JavaScript.\n" + PROSE) is None
-    assert look("404 – Page not found\nThe address /x/1 does not exist on this server. Check the spelling.")[0] > 0
-    assert look("Lorem ipsum dolor sit amet, consectetur adipiscing elit.\n" * 30)[0] > 0
-    assert look("Some words of the house. " * 40)[0] > 0  # one sentence over and over is filler, however long
-    assert look("at a.b (c.php:12)\n#1 d.e (f.js:3)\nFile x (y.py:7)")[0] > 0
-    assert look("")[1] == [] and look("A short sentence of its own.")[0] == 0
+    assert parts(PROSE)[0] == 0 and parts(PROSE)[1] >= 60
+    assert parts(PROSE + "\nIn the template, write {{date}} here.")[1] >= 60 and look("Please enable JavaScript.\n" + PROSE).leads
+    assert parts("404 – Page not found\nThe address /x/1 does not exist on this server. Check the spelling.")[0] > 0
+    assert parts("Lorem ipsum dolor sit amet, consectetur adipiscing elit.\n" * 30)[0] > 200
+    assert parts("Some words of the house. " * 40)[0] > 100  # one sentence over and over is filler, however long
+    assert parts("at a.b (c.php:12)\n#1 d.e (f.js:3)\nFile x (y.py:7)")[0] > 0
+    assert look("").words == [] and look("Home | News\nLoading").passages == [] and parts("A short sentence of its own.")[0] == 0
+    masked = [p for p, *_ in look("You need {{x}} to open /a/b of Red Lamp on day 7.").passages]
+    assert masked == ["you need {} to open 0 of N on day 0"]
 
 
 def docs(spark, rows):
@@ -47,12 +57,21 @@ def test_operator(spark):
     rows = [(1, "Please enable JavaScript to view this page."), (2, PROSE), (3, None), (4, ""), (5, "502 Bad Gateway\n" + gone.format(7)), (6, gone.format(8) + " today"), (7, "502 Bad Gateway\n" + gone.format(9)), (8, "A short text of its own."), (9, "  \n ")]
     got = {r.doc_id: r for r in residue_documents(docs(spark, rows)).collect()}
     assert set(got) == {1, 5, 6, 7}
-    assert not got[6].trusted and got[6].component is not None and got[5].class_id == got[7].class_id
+    assert got[6].how == "links" and got[6].component == got[5].class_id and got[5].class_id == got[7].class_id and got[5].how == "signs"
     assert {r.doc_id for r in without_residue(docs(spark, rows)).collect()} == {2, 3, 4, 8, 9}
     assert residue_documents(docs(spark, [])).count() == 0
     assert residue_documents(docs(spark, [(1, "word " * 300_000 + "{{x}}")])).count() in (0, 1)
 
 
+def test_long_error_pages_are_reached(spark):
+    """A long page without a sign is residue where its wording is: by passages of other residue, and by near-duplicates."""
+    regret = "We are so sorry that the thing you came for is not here. Our people know about it and work on it at this hour. You can go back to where you were. Or come again when the sun is up."
+    rows = [(i, f"502 Bad Gateway\nBig thing {'x' * i} error 500\n{regret}") for i in range(30)]
+    rows += [(100, regret), (101, regret.replace("sun", "moon") + "\n" + regret), (102, PROSE), (103, PROSE + "\n" + regret)]
+    got = {r.doc_id: r.how for r in residue_documents(docs(spark, rows)).collect()}
+    assert set(got) == {*range(30), 100, 101} and set(got.values()) == {"passages"}
+
+
 def _partition(n, links):
     parent = list(range(n))
 
@@ -66,9 +85,9 @@ def _partition(n, links):
     return {frozenset(j for j in range(n) if root(j) == root(i)) for i in range(n)}
 
 
-@pytest.mark.parametrize("block", [1000, 4])
-def test_links_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+@pytest.mark.parametrize("limit", [session.BROADCAST_LIMIT, 0])
+def test_reached_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", limit)
     rng = random.Random(7)
     bases = [[rng.getrandbits(62) for _ in range(rng.randint(1, 40))] for _ in range(12)]
     sets = []
@@ -76,28 +95,20 @@ def test_links_against_brute_force(spark, monkeypatch, block):
         s = list(rng.choice(bases))
         for _ in range(rng.randint(0, 6)):
             s[rng.randrange(len(s))] = rng.getrandbits(62)
-        sets.append(sorted(set(s)))
-    rows = [(i, simhash(np.array(s, np.int64)), s) for i, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "id LONG, sim LONG, shingles ARRAY<LONG>")
-    got = [(r.a, r.b) for r in near_links(df).collect()]
-    similar = [(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
-    assert all((max(x), min(x)) in set(similar) for x in got)
-    assert _partition(len(sets), got) == _partition(len(sets), similar) and len(similar) > 50
-
-
-def test_components(spark):
-    rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(200)] + [(1000 + rng.randrange(50), 1000 + rng.randrange(50)) for _ in range(40)] + [(5000, 5000)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges + edges + [(None, 1)], "a LONG, b LONG")).collect()}
-    parent = {x: x for e in edges for x in e}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    assert got == {x: root(x) for x in parent}
-    assert connected_components(spark.createDataFrame([], "a LONG, b LONG")).count() == 0
+        sets.append(np.array(sorted(set(s)), np.int64))
+    nodes = spark.createDataFrame([(i, simhash(s), len(s), prefix(s), s.tolist()) for i, s in enumerate(sets)], "id LONG, sim LONG, n INT, keys ARRAY<LONG>, shingles ARRAY<LONG>")
+    seeds = spark.createDataFrame([(i,) for i in range(0, 120, 17)], "id LONG")
+    got = {r.id: r.root for r in reached(nodes.drop("shingles"), seeds, lambda ids, size: nodes.join(ids, "id").select("id", "shingles")).collect()}
+    as_sets = [set(s.tolist()) for s in sets]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if len(as_sets[i] & as_sets[j]) >= 0.8 * len(as_sets[i] | as_sets[j])]
+    parts = _partition(len(sets), similar)
+    want = set().union(*(p for p in parts if any(i % 17 == 0 for i in p)))
+    assert set(got) == want and len(want) > 20
+    assert all(any(i in p and got[i] in p for p in parts) and got[i] % 17 == 0 for i in got)
+
+
+def test_shingles():
+    words = "a b c d e f g a b c d e".split()
+    assert len(shingles(words)) == 7 and len(shingles(words[:3])) == 1 and len(shingles([])) == 0
+    assert set(shingles(words[:6]).tolist()) < set(shingles(words).tolist())
+    assert len(prefix(shingles(words))) == 2 and len(prefix(np.arange(10))) == 3
