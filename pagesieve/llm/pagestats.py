@@ -1,4 +1,8 @@
-"""Figures of one page text, computed in Arrow batches: shared by the quality and the spam operator."""
+"""Figures of one page text, computed in Arrow batches: shared by the quality and the spam operator.
+
+The profile of a page is counted in one pass over its words and lines, for every page. Its shares, how much of it is
+no sentence and how much of it is stuffed or links, take a look at each line and are for the pages that a profile flags.
+"""
 
 from __future__ import annotations
 
@@ -46,14 +50,17 @@ _token = re.compile(r"(?<![\w/])[^\W\d_]+(?:[’'-][^\W\d_]+)*(?![\w/])")
 _measure = re.compile(r"\d\s+([^\W\d_]+)")
 #: Share of a page that a single further word must stuff to be a key word of it.
 KEY_SHARE = 0.125
+#: Marks of program code beside words: a unit with them is junk and no product tag.
+_code = re.compile(r"\w[=\[({]\w|[)\]}]\s*[;{.]|\|\||&&")
 _enumerated = re.compile(r"^\W*\d{1,3}[.)]\s+")
 
 
-def language(words: list[str], text: str) -> str:
+def language(words: list[str] | Counter, text: str) -> str:
     """The language whose common words occur most; Cyrillic script is Russian; `xx` without any."""
     if _cyr.search(text) and len(_cyr.findall(text)) * 3 > len(text):
         return "ru"
-    seen = Counter(filter(ALL_COMMON.__contains__, words))
+    known = words if isinstance(words, Counter) else Counter(filter(ALL_COMMON.__contains__, words))
+    seen = {w: known[w] for w in known.keys() & ALL_COMMON}
     best, n = "xx", 0
     for k in LANGUAGES:
         s = sum(c for w, c in seen.items() if w in _sets[k])
@@ -124,7 +131,7 @@ def spam_share(text: str, counts: Counter, seen: Counter) -> tuple[float, float]
     lines = low.split("\n")
     links = [_link_line(line) for line in lines] if _may_link.search(low) else [False] * len(lines)
     linked = sum(len(line) + 1 for line, link in zip(lines, links, strict=True) if link)
-    rest = [u for line, link in zip(lines, links, strict=True) if not link for u in _unit.split(line) if u.strip()]
+    rest = [u for line, link in zip(lines, links, strict=True) if not link and not _code.search(line) for u in _unit.split(line) if u.strip()]
     stuffed: set[int] = set()
     best, measures = 0, None
     for key, n in counts.most_common(3):
@@ -189,10 +196,8 @@ def _stuffed_by_others(rest: list[str], may: list[tuple[int, int]], keys: set[st
     return out
 
 
-FIGURES = (
-    "n_words", "mean_word", "symbol_ratio", "punct_lines", "common_share", "not_prose",
-    "density", "entropy", "repetition", "spam", "links",
-)
+PROFILE = ("n_words", "mean_word", "symbol_ratio", "punct_lines", "common_share", "closed", "density", "entropy", "repetition", "marks")
+SHARES = ("not_prose", "spam", "links")
 
 
 #: The runs of wrongly decoded text are few and come again and again.
@@ -218,45 +223,72 @@ def sound(text: str) -> str:
     return best
 
 
-def figures(text: str) -> dict:
-    """All figures of one non-null text; an empty text has zeros and language `xx`."""
+def profile(text: str) -> dict:
+    """The counted figures of one non-null text: closed is the share of characters in lines that end a sentence, marks the marks
+    of links a line, repetition, density and entropy are of words. An empty text has zeros and language `xx`."""
     text = sound(text)
-    lines = [Line(x) for x in text.split("\n")]
-    words = [w for x in lines for w in x.words]
-    chars = sum(x.n for x in lines)
-    full = [x for x in lines if x.n]
-    flags = [f and not _link_line(x.text) for x, f in zip(full, prose_flags(full), strict=True)]
-    n = len(words)
-    seen = Counter(words)
-    counts = Counter({w: c for w, c in seen.items() if len(w) >= 3 and w not in ALL_COMMON})
-    content = sum(counts.values())
-    # a word that comes once adds nothing to the sum of c log c
-    entropy = 1 - sum([c * math.log(c) for c in counts.values() if c > 1]) / (content * math.log(content)) if content > 1 else 1.0
-    spam, links = spam_share(text, counts, seen)
+    low = text.lower()
+    words = _word.findall(low)
+    n, seen = len(words), Counter(words)
+    chars = closed = punct = full = 0
+    for x in text.split("\n"):
+        x = x.strip()
+        if x:
+            full += 1
+            chars += len(x)
+            last = x.rstrip("”\"»“’')]")[-1:]
+            if last in ".!?…":
+                closed += len(x)
+            punct += last in ".!?…;:,"
+    counts = [c for w, c in seen.items() if len(w) >= 3 and w not in ALL_COMMON]
+    content = sum(counts)
+    marks = low.count("://") + low.count("www.") + low.count("<a ") + len(_domain_end.findall(low)) if _may_link.search(low) else 0
     return {
-        "language": language(words, text),
+        "language": language(seen, text),
         "n_words": float(n),
         "mean_word": sum(map(len, words)) / n if n else 0.0,
         "symbol_ratio": len(_symbol.findall(text)) / chars if chars else 0.0,
-        "punct_lines": sum(1 for x in full if _ends_line.search(x.text)) / len(full) if full else 0.0,
-        "common_share": sum(x.common for x in lines) / n if n else 0.0,
-        "not_prose": sum(x.n for x, f in zip(full, flags, strict=True) if not f) / chars if chars else 0.0,
-        "density": max(counts.values(), default=0) / content if content else 0.0,
-        "entropy": entropy,
+        "punct_lines": punct / full if full else 0.0,
+        "common_share": sum(seen[w] for w in seen.keys() & ALL_COMMON) / n if n else 0.0,
+        "closed": closed / chars if chars else 0.0,
+        "density": max(counts, default=0) / content if content else 0.0,
+        # a word that comes once adds nothing to the sum of c log c
+        "entropy": 1 - sum([c * math.log(c) for c in counts if c > 1]) / (content * math.log(content)) if content > 1 else 1.0,
         "repetition": 1 - len(seen) / n if n else 0.0,
-        "spam": spam,
-        "links": links,
+        "marks": marks / full if full else 0.0,
     }
 
 
-DDL = "url STRING, text_id BIGINT, language STRING, " + ", ".join(f"{c} DOUBLE" for c in FIGURES)
+def shares(text: str) -> dict:
+    """Shares of the characters of one non-null text: outside sentences, in stuffed units and link lines, in link lines."""
+    text = sound(text)
+    full = [x for x in map(Line, text.split("\n")) if x.n]
+    chars = sum(x.n for x in full)
+    flags = [f and not _link_line(x.text) for x, f in zip(full, prose_flags(full), strict=True)]
+    seen = Counter(w for x in full for w in x.words)
+    spam, links = spam_share(text, Counter({w: c for w, c in seen.items() if len(w) >= 3 and w not in ALL_COMMON}), seen)
+    return {"not_prose": sum(x.n for x, f in zip(full, flags, strict=True) if not f) / chars if chars else 0.0, "spam": spam, "links": links}
+
+
+def figures(text: str) -> dict:
+    """Profile and shares of one non-null text."""
+    return profile(text) | shares(text)
+
+
+PROFILE_DDL = "url STRING, text_id BIGINT, own STRING, language STRING, " + ", ".join(f"{c} DOUBLE" for c in PROFILE)
+SHARES_DDL = "url STRING, " + ", ".join(f"{c} DOUBLE" for c in SHARES)
+
+
+def profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (url, text_id, own) with the profile of own."""
+    for batch in batches:
+        rows = [profile(t) for t in batch.column("own").to_pylist()]
+        cols = [*batch.columns, pa.array([r["language"] for r in rows], pa.string()), *(pa.array([r[c] for r in rows], pa.float64()) for c in PROFILE)]
+        yield pa.record_batch(cols, ["url", "text_id", "own", "language", *PROFILE])
 
 
-def figure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def share_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (url, own) with the shares of own in its place."""
     for batch in batches:
-        urls, ids, texts = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-        for at in range(0, len(urls), 2000):
-            rows = [figures(t) for t in texts[at : at + 2000]]
-            cols = [pa.array(urls[at : at + 2000], pa.string()), ids[at : at + 2000], pa.array([r["language"] for r in rows], pa.string())]
-            cols += [pa.array([r[c] for r in rows], pa.float64()) for c in FIGURES]
-            yield pa.record_batch(cols, ["url", "text_id", "language", *FIGURES])
+        rows = [shares(t) for t in batch.column("own").to_pylist()]
+        yield pa.record_batch([batch.column("url"), *(pa.array([r[c] for r in rows], pa.float64()) for c in SHARES)], ["url", *SHARES])

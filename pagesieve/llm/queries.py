@@ -9,14 +9,13 @@ from pagesieve.functions.text import BLANKS, HOST
 from pagesieve.llm.body import page_bodies, scored_nodes
 from pagesieve.llm.charset import garbled
 from pagesieve.llm.leaks import leaked
-from pagesieve.llm.lines import own_text, repeated_lines
+from pagesieve.llm.lines import blocks, keyed_lines, own_text, repeated_lines
 from pagesieve.llm.mixing import mix, token_counts
-from pagesieve.llm.quality import not_prose, page_figures, quality
+from pagesieve.llm.quality import not_prose, page_profiles, quality, spam_pages
 from pagesieve.llm.residue import residue_documents, without_residue
-from pagesieve.llm.spam import flag_spam
 from pagesieve.llm.splitting import pieces
 from pagesieve.plans.registry import Registry
-from pagesieve.session import table
+from pagesieve.session import keyed_join, table
 
 registry = Registry()
 
@@ -45,14 +44,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's text without the repeated lines."""
-    return own_text(table(spark, sf_dir, "cc_text").where("url IS NOT NULL AND text IS NOT NULL")).select("url", "own").distinct()
+    return own_text(table(spark, sf_dir, "cc_text")).select("url", "own").distinct()
 
 
-@registry.add()
+@registry.add(
+    LINES_SQL
+    + """, hit AS (SELECT DISTINCT url, site, line_no, k FROM long JOIN often USING (site, k)
+), pairs AS (SELECT a.site, a.k AS a, b.k AS b, count(DISTINCT a.url) AS w FROM hit a JOIN hit b ON a.url = b.url AND b.line_no = a.line_no + 1 AND a.k <> b.k GROUP BY a.site, a.k, b.k
+), edges AS (SELECT site, a, b FROM pairs JOIN sites USING (site) WHERE w >= 3 AND w * 10 >= n), two_way AS (SELECT site, a, b FROM edges UNION SELECT site, b, a FROM edges
+), reach AS (WITH RECURSIVE r AS (SELECT site, k AS a, k AS b FROM (SELECT DISTINCT site, k FROM hit) UNION SELECT r.site, r.a, e.b FROM r JOIN two_way e ON r.site = e.site AND r.b = e.a) SELECT site, a AS k, min(b) AS block FROM r GROUP BY site, a)
+SELECT site, count(DISTINCT hit.k) AS lines, count(*) AS occurrences, count(DISTINCT url) AS urls FROM hit JOIN reach USING (site, k) GROUP BY site, block"""
+)
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The boilerplate blocks of each site: connected components of its frequent lines, with their occurrences."""
-    lines = repeated_lines(table(spark, sf_dir, "cc_text"))
-    return lines.groupBy("site", "block").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("url").alias("urls"))
+    """The boilerplate blocks of each site: connected components of its frequent lines, with their lines and occurrences."""
+    keyed = keyed_lines(table(spark, sf_dir, "cc_text"))
+    found, hits = blocks(keyed)
+    each = hits.select("url", "site", "s", F.explode("hits").alias("x")).select("url", "site", "s", F.col("x.n").alias("line_no"), F.col("x.k").alias("k")).distinct()
+    placed = keyed_join(each, found, ["s", "k"], 40 * found.count(), F.col("url"))
+    return placed.groupBy("site", "s", "block").agg(F.countDistinct("k").alias("lines"), F.count(F.lit(1)).alias("occurrences"), F.countDistinct("url").alias("urls")).drop("s", "block")
 
 
 @registry.add()
@@ -64,13 +73,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def p3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures of each page with their percentiles and robust z-scores."""
-    return quality(page_figures(table(spark, sf_dir, "cc_text"))).drop("text_id").distinct()
+    return quality(page_profiles(table(spark, sf_dir, "cc_text"))).drop("text_id").distinct()
 
 
 @registry.add()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of cc_text that are keyword-stuffed, link lists or product tags."""
-    return flag_spam(page_figures(table(spark, sf_dir, "cc_text"))).where("is_spam").select("url").distinct()
+    return spam_pages(table(spark, sf_dir, "cc_text"))
 
 
 def _page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

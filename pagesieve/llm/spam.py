@@ -1,10 +1,10 @@
 """Keyword-stuffed pages, link lists and product tags.
 
-Each page is a point of density, entropy, repetition, function-word and stuffing figures. Per language a robust
+Each page is a point of density, entropy, repetition, function-word and link-mark figures. Per language a robust
 centre and scale come from quantile sketches, and a covariance from the pages within three robust deviations on
-every axis, all of one row for each distinct text that is not spam itself, so that no share of spam moves them;
-pages far off by Mahalanobis distance in a spam-directed way are outliers. These are reported; a page is spam by
-its own text alone: it is made for the most part of stuffed units or link lines.
+every axis, all of one row for each distinct text of the reference population, pages that look like prose, so that no
+share of spam moves them. Pages far off by Mahalanobis distance in a spam-directed way are flagged. What is flagged
+is confirmed by its own text: it is made for the most part of stuffed units or link lines.
 """
 
 from __future__ import annotations
@@ -13,52 +13,49 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.robust import POOLED, one_a_text, robust_z, sketches
-from pagesieve.session import stage
+from pagesieve.llm.pagestats import LANGUAGES
+from pagesieve.llm.robust import BACKING
 
 #: The figures and the direction of spam on each.
-SPAM_COLUMNS = {"density": 1.0, "entropy": -1.0, "repetition": 1.0, "common_share": -1.0, "spam": 1.0}
+SPAM_COLUMNS = {"density": 1.0, "entropy": -1.0, "repetition": 1.0, "common_share": -1.0, "marks": 1.0}
 # The least spread of each figure.
-FLOOR = {"density": 0.02, "entropy": 0.02, "repetition": 0.05, "common_share": 0.05, "spam": 0.02}
+SPAM_FLOOR = {"density": 0.02, "entropy": 0.02, "repetition": 0.05, "common_share": 0.05, "marks": 0.1}
 #: The 0.999 quantile of chi square with five degrees of freedom.
 CUT = 20.5
 #: Added to the diagonal of a correlation matrix before it is inverted.
 RIDGE = 0.1
-#: What decides, whatever the other pages are like.
+#: What confirms a flagged page.
 IS_SPAM = "spam > 0.5"
 
 
 def _inverses(z: DataFrame, columns: list[str]) -> dict[str, list[float]]:
-    """Inverse covariance of the pages near the centre by reference group: a few sums a language come to the driver."""
+    """Inverse covariance of the pages near the centre by language: a few sums a language come to the driver, and the sums
+    over all languages stand behind each."""
     near = F.lit(True)
     for c in columns:
         near &= F.abs(f"z_{c}") <= 3
     sums = [F.sum(F.col(f"z_{a}") * F.col(f"z_{b}")).alias(f"{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]]
-    rows = z.where(near).groupBy("reference_group").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+    got = {}
+    for r in z.where(near).groupBy("language").agg(F.count(F.lit(1)).alias("n"), *sums).collect():
+        got[r["language"]] = r["n"], np.array([[r[f"{a}_{b}"] if f"{a}_{b}" in r else r[f"{b}_{a}"] for b in columns] for a in columns])
+    total = sum(n for n, _ in got.values())
+    every = sum(m for _, m in got.values()) / total if total else np.eye(len(columns))
     out = {}
-    for r in rows:
-        m = np.array([[(r[f"{a}_{b}"] if f"{a}_{b}" in r else r[f"{b}_{a}"]) / r["n"] for b in columns] for a in columns])
-        out[r["reference_group"]] = np.linalg.inv(m + RIDGE * np.eye(len(columns))).ravel().tolist()
+    for name in (*LANGUAGES, "xx"):
+        n, m = got.get(name, (0, 0.0))
+        out[name] = np.linalg.inv((m + BACKING * every) / (n + BACKING) + RIDGE * np.eye(len(columns))).ravel().tolist()
     return out
 
 
-def flag_spam(figures: DataFrame, direction: dict[str, float] = SPAM_COLUMNS) -> DataFrame:
-    """figures with distance (squared), spamward, outlier and is_spam. Empty texts have zero figures and are no
-    spam; repeated rows repeat; no rows in, no rows out."""
+def with_distance(z: DataFrame, reference: DataFrame, direction: dict[str, float] = SPAM_COLUMNS) -> DataFrame:
+    """z with distance (squared Mahalanobis), spamward and outlier; reference has the z-scores of the reference population."""
     columns = list(direction)
-    sound = stage(one_a_text(figures.where(f"NOT ({IS_SPAM})")), "sound")
-    sketched = stage(sketches(sound, tuple(columns)), "sketches")
-    z = robust_z(figures, sketched, tuple(columns), FLOOR)
-    inverse = _inverses(robust_z(sound, sketched, tuple(columns), FLOOR), columns)
-    unit = np.eye(len(columns)).ravel().tolist()
-    matrix = F.create_map(*(F.lit(x) for k, m in ({POOLED: unit} | inverse).items() for x in (k, F.array(*map(F.lit, m)))))
-    m = F.coalesce(matrix[F.col("reference_group")], F.array(*map(F.lit, unit)))
+    inverse = _inverses(reference, columns)
+    matrix = F.create_map(*(F.lit(x) for k, m in inverse.items() for x in (k, F.array(*map(F.lit, m)))))
+    m = matrix[F.col("language")]
     zs = [F.col(f"z_{c}") for c in columns]
     d2 = sum((m[i * len(columns) + j] * zs[i] * zs[j] for i in range(len(columns)) for j in range(len(columns))), F.lit(0.0))
     ward = sum((F.lit(s) * F.col(f"z_{c}") for c, s in direction.items()), F.lit(0.0))
-    return (
-        z.withColumn("distance", d2)
-        .withColumn("spamward", ward)
-        .withColumn("outlier", (F.col("distance") >= CUT) & (F.col("spamward") > 0))
-        .withColumn("is_spam", F.expr(IS_SPAM))
-    )
+    out = z.withColumn("distance", d2).withColumn("spamward", ward)
+    return out.withColumn("outlier", (F.col("distance") >= CUT) & (F.col("spamward") > 0))
+

@@ -1,12 +1,12 @@
 import duckdb
 import pytest
 
-from pagesieve.llm.lines import SALTS, _salted_join, own_text, repeated_lines
-from pagesieve.llm.pagestats import Line, figures, prose_flags
-from pagesieve.llm.quality import not_prose, page_figures, quality
+from pagesieve import session
+from pagesieve.llm.lines import blocks, keyed_lines, own_text, repeated_lines
+from pagesieve.llm.pagestats import PROFILE, Line, figures, prose_flags
+from pagesieve.llm.quality import flagged, not_prose, page_profiles, quality, spam_pages
 from pagesieve.llm.queries import registry
-from pagesieve.llm.spam import flag_spam
-from pyspark.sql import functions as F
+from pagesieve.llm.robust import robust_z, statistics
 
 SF = "/root/testdata/sf0.001"
 PAGES = "url STRING, text STRING, site STRING, own STRING, k LONG, block LONG"
@@ -17,7 +17,7 @@ def pages(spark, rows):
     return spark.createDataFrame([(u, t, "clash", "clash", 1, 2) for u, t in rows], PAGES)
 
 
-@pytest.mark.parametrize("name", ["p5_found", "p5_clean"])
+@pytest.mark.parametrize("name", ["p5_found", "p5_clean", "p5_blocks"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW cc_text AS SELECT * FROM '{SF}/cc_text.parquet'")
@@ -35,7 +35,7 @@ def test_repeated_lines(spark):
     assert found == {(f"http://WWW.a.example/{i}", n) for i in range(5) for n in (2, 3)}
     assert got.select("block").distinct().count() == 1  # the two lines follow one another on every page
     own = {r.url: r.own for r in own_text(pages(spark, rows)).collect() if r.url}
-    assert own["http://WWW.a.example/3"] == "Own line number xxx of page\nshort" and own["http://b.example/1"] == LEGAL and own["http://a.example/9"] is None
+    assert own["http://WWW.a.example/3"] == "Own line number xxx of page\nshort" and own["http://b.example/1"] == LEGAL and "http://a.example/9" not in own
     assert repeated_lines(pages(spark, [])).count() == 0 and own_text(pages(spark, [])).count() == 0
 
 
@@ -45,11 +45,17 @@ def test_exact_share_counts(spark):
     assert {r.url for r in repeated_lines(pages(spark, rows)).collect()} == {f"http://c.example/{i}" for i in range(7)}
 
 
-def test_salted_join_is_whole(spark):
-    left = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") % 3).alias("j"), F.col("id").cast("string").alias("url"))
-    right = spark.range(2).select(F.col("id").alias("k"), F.col("id").alias("j"))
-    big = _salted_join(left, right, ["k", "j"], F.col("url"), 1 << 40)
-    assert SALTS > 1 and big.count() == left.join(right, ["k", "j"]).count()
+def test_shuffled_joins_are_whole(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/cc_text.parquet")
+    want = {tuple(r) for r in repeated_lines(df).select("url", "line_no").collect()}, {tuple(r) for r in own_text(df).select("url", "own").collect()}
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", 0)
+    assert ({tuple(r) for r in repeated_lines(df).select("url", "line_no").collect()}, {tuple(r) for r in own_text(df).select("url", "own").collect()}) == want
+
+
+def test_single_lines_are_blocks(spark):
+    rows = [(f"http://e.example/{i}", f"First common line here\nOwn line {'z' * (i + 9)} of it\nSecond common line here") for i in range(5)]
+    found, hits = blocks(keyed_lines(pages(spark, rows)))
+    assert found.select("block").distinct().count() == 2 and found.count() == 2 and hits.count() == 5
 
 
 PROSE = "The old house stood near the river. It was a cold day, and the people of the town were at home."
@@ -91,24 +97,27 @@ def test_operators(spark):
     bad = {"http://t.example/1": TABLE, "http://t.example/2": STUFFED, "http://t.example/3": LINKS, "http://t.example/4": TAGS}
     df = pages(spark, rows + list(bad.items()) + [("http://t.example/5", None), ("http://t.example/6", ""), ("http://t.example/1", TABLE)])
     assert {r.url for r in not_prose(df).collect()} == set(bad)
-    figs = page_figures(df)
-    assert {r.url for r in flag_spam(figs).where("is_spam").collect()} == set(list(bad)[1:])
-    assert quality(figs).count() == figs.count()
-    assert not_prose(pages(spark, [])).count() == 0 and flag_spam(page_figures(pages(spark, []))).count() == 0
+    assert {r.url for r in spam_pages(df).collect()} == set(list(bad)[1:])
+    profiles = page_profiles(df)
+    got = quality(profiles)
+    assert got.count() == profiles.count() == 86 and {f"rank_{c}" for c in ("n_words", "closed")} < set(got.columns)
+    flags = {r.url: (r.in_tail, r.outlier) for r in got.collect()}
+    assert not any(any(flags[u]) for u, _ in rows) and flags["http://t.example/1"][0] and all(flags[u][1] for u in list(bad)[1:])
+    assert not_prose(pages(spark, [])).count() == 0 and spam_pages(pages(spark, [])).count() == 0
 
 
-def test_one_junk_page_does_not_hide_junk(spark):
+def test_junk_at_any_share_is_found(spark):
     prose = [(f"http://s{i}.example/p", f"The person {i} saw the house of the town. " + PROSE) for i in range(60)]
     # every language figure sees the junk: English function words beside it
     junk = "the of and\n" + TABLE
     rows = prose + [("http://t.example/copied", junk)] * 40 + [("http://t.example/other", junk.replace("Oven", "Stove"))]
     rows += [(f"http://t.example/{i}", junk.replace("Oven", f"Oven {'x' * i}")) for i in range(40)]
-    df = pages(spark, rows)
-    assert {r.url for r in not_prose(df).collect()} == {u for u, _ in rows[60:]}
-    figs = page_figures(df)
+    for part in (rows, rows[60:], prose[:1] + rows[60:]):
+        assert {r.url for r in not_prose(pages(spark, part)).collect()} == {u for u, _ in rows[60:]}
     # copies of one text move no statistic
-    once = {r.url: r.z_not_prose for r in quality(figs.dropDuplicates(["url"])).collect()}
-    assert {r.url: r.z_not_prose for r in quality(figs).collect()} == once
+    figs = page_profiles(pages(spark, rows))
+    once = {r.url: r.z_closed for r in quality(figs.dropDuplicates(["url"])).collect()}
+    assert {r.url: r.z_closed for r in quality(figs).collect()} == once
 
 
 def test_spam_stays_spam_at_any_share(spark):
@@ -116,10 +125,33 @@ def test_spam_stays_spam_at_any_share(spark):
     stuffed = "It is the best of the kettle. " + STUFFED
     spam = [("http://t.example/copied", stuffed)] * 50 + [(f"http://t.example/{i}", stuffed.replace("shop", f"shop{'x' * i}")) for i in range(40)]
     for rows in (prose + spam, spam, prose[:1] + spam):
-        figs = page_figures(pages(spark, rows))
-        assert {r.url for r in flag_spam(figs).where("is_spam").collect()} == {u for u, _ in spam}
-    far = flag_spam(page_figures(pages(spark, prose + spam)))
-    assert far.where("is_spam AND NOT outlier").count() == 0 and far.where("outlier AND NOT is_spam").count() == 0
+        assert {r.url for r in spam_pages(pages(spark, rows)).collect()} == {u for u, _ in spam}
+    far = {r.url: r.outlier for r in flagged(page_profiles(pages(spark, prose + spam)), quality=False).collect()}
+    assert {u for u, o in far.items() if o} == {u for u, _ in spam}
+
+
+def test_selection_keeps_what_the_shares_find(spark):
+    """Over a whole table, hardly a page that its shares would call a case is missed by tails and outliers, which spare most pages."""
+    rows = [(r.own, r.in_tail, r.outlier) for r in flagged(page_profiles(spark.read.parquet("/root/testdata/sf0.01/cc_text.parquet"))).select("own", "in_tail", "outlier").collect()]
+    exact = [(t or o, o, f["not_prose"] > 0.5 or f["spam"] > 0.5, f["spam"] > 0.5) for (own, t, o), f in ((r, figures(r[0])) for r in rows)]
+    assert sum(f and c for f, _, c, _ in exact) >= 0.98 * sum(c for _, _, c, _ in exact) > 0
+    assert sum(o and s for _, o, _, s in exact) >= 0.98 * sum(s for *_, s in exact) > 0
+    assert sum(f for f, *_ in exact) < 0.5 * len(exact)
+
+
+def test_small_languages_lean_on_all(spark):
+    rows = [(i, "en", float(i % 9)) for i in range(900)] + [(1000 + i, "de", 50.0) for i in range(2)]
+    df = spark.createDataFrame(rows, "text_id LONG, language STRING, x DOUBLE")
+    stats = {r.language: r.m_x for r in statistics(df, ("x",), {"x": 0.5}).collect()}
+    assert abs(stats["en"] - 4) <= 1 and stats["en"] < stats["de"] < 10 and stats["fr"] == pytest.approx(4, abs=1)
+    z = {r.text_id: r.z_x for r in robust_z(df, statistics(df, ("x",), {"x": 0.5}), ("x",)).collect()}
+    assert z[1000] > 5 and len(z) == 902
+    assert statistics(df.limit(0), ("x",), {"x": 0.5}).count() == 9
+
+
+def test_code_is_no_spam():
+    code = "\n".join(f"var kol{i}=tov[{i}]||function(to){{return tov.tor({i})}};" for i in range(40))
+    assert figures(code)["spam"] < 0.5 < figures(code)["not_prose"] and set(PROFILE) < set(figures(code))
 
 
 def test_all_key_words_count():
