@@ -19,7 +19,10 @@ from pyspark.sql.window import Window
 
 from pagesieve.session import broadcast_if_small, stage
 
+#: The vocabulary file, which every node must have at this path.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Documents of a part, whose running total one task makes.
+PART_ROWS = 100_000
 # Fixed value: the public word pattern of byte-level BPE vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -51,13 +54,13 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return picked.mapInArrow(run, "doc_id BIGINT, source STRING, tokens BIGINT")
 
 
-def mix(counted: DataFrame, targets: DataFrame, total_share: float = 0.5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(counted: DataFrame, targets: DataFrame, total_share: float = 0.5, seed: int = 0, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, shares) of a mix from (doc_id, source, tokens) and (source, target_share, max_repeats).
 
     records has doc_id, source, tokens and repeats, how often the document stands in the mix; shares has for each
     target its budget, the tokens reached, the share of the total and of the mix, and whether its documents fell
     short. The total is total_share of the tokens of all documents whose source has a target. Documents without a
-    source or a target are left out; ties of the key go by doc_id; targets repeated after folding their names are
+    source or a target are left out; the key is a hash of doc_id and seed unless one is given, and its ties go by doc_id; targets repeated after folding their names are
     summed; null or negative shares and repeats count as zero; sources without documents reach nothing.
     """
     goal = targets.groupBy(source_key(F.col("source")).alias("source")).agg(
@@ -66,8 +69,10 @@ def mix(counted: DataFrame, targets: DataFrame, total_share: float = 0.5, seed:
     )
     goal = stage(goal.where("source IS NOT NULL"), "goal")
     wanted = goal.count() * 64
-    keyed = counted.join(broadcast_if_small(goal.select("source"), wanted), "source").withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
-    spread = max(8, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = counted.join(broadcast_if_small(goal.select("source"), wanted), "source").withColumn("key", F.xxhash64("doc_id", F.lit(seed)) if key is None else key)
+    # counted once and staged, as ranges take a sample of the rows before they are placed
+    keyed = stage(keyed.select("doc_id", "source", "tokens", "key"), "keyed")
+    spread = max(8, -(-keyed.count() // PART_ROWS))
     placed = stage(keyed.repartitionByRange(spread, "source", "key").withColumn("part", F.spark_partition_id()), "placed")
     # one row a source and partition: sources of the target table times partitions at most
     sums = placed.groupBy("source", "part").agg(F.sum("tokens").alias("sum"))

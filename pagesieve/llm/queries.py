@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagesieve.functions.text import BLANKS, HOST
 from pagesieve.llm.body import page_bodies, scored_nodes
 from pagesieve.llm.charset import garbled
 from pagesieve.llm.leaks import leaked
 from pagesieve.llm.lines import blocks, keyed_lines, own_text, repeated_lines
-from pagesieve.llm.mixing import mix, token_counts
+from pagesieve.llm.mixing import mix, source_key, token_counts
 from pagesieve.llm.quality import not_prose, page_profiles, quality, spam_pages
 from pagesieve.llm.residue import residue_documents, without_residue
-from pagesieve.llm.splitting import pieces
+from pagesieve.llm.splitting import oversized, pieces
 from pagesieve.plans.registry import Registry
 from pagesieve.session import keyed_join, table
 
@@ -124,6 +125,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
+@registry.add()
+def p10_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residue documents with what shows it: signs, passages or links."""
+    return residue_documents(table(spark, sf_dir, "documents")).groupBy("how").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 @registry.add()
 def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without the residue ones."""
@@ -143,8 +150,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM page_features) WHERE n > 384 OR t > 4096"""
 )
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of page_features over 384 nodes or 4,096 tokens, from the pieces they are cut into."""
-    return pieces(table(spark, sf_dir, "page_features")).where("oversized").select("feature_id").distinct()
+    """Rows of page_features that are cut into several pieces, as they have over 384 nodes or 4,096 tokens."""
+    return oversized(table(spark, sf_dir, "page_features"))
 
 
 @registry.add()
@@ -153,6 +160,27 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "page_features"))
 
 
+@registry.add(
+    """WITH x AS (SELECT feature_id, unnest(NodeIds) AS n, unnest(TokenId) AS t FROM page_features)
+    SELECT feature_id, count(*) AS nodes, CAST(sum(len([y for y in t if y <> 1])) AS BIGINT) AS tokens, 0 AS over, 0 AS gaps FROM x WHERE n <> 0 GROUP BY feature_id"""
+)
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces without what they repeat, put together again: nodes and tokens of each row, its pieces over a limit, and those
+    that repeat nothing though the page goes on."""
+    p = pieces(table(spark, sf_dir, "page_features"))
+    sizes = F.transform("TokenId", F.size)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    own = F.slice(sizes, F.col("repeated") + 1, F.size("TokenId"))
+    # a node that is cut stands there once a fragment, and counts where it begins
+    pairs = F.arrays_zip(F.col("NodeIds").alias("n"), F.col("Url").alias("u"))
+    own_pairs = F.slice(pairs, F.greatest(F.col("repeated"), F.lit(1)), F.size(pairs))
+    cut = F.aggregate(F.zip_with(F.slice(own_pairs, 2, F.size(pairs)), own_pairs, lambda x, y: x.isNotNull() & x.eqNullSafe(y)), F.lit(0), lambda a, x: a + x.cast("int"))
+    goes_on = (F.col("repeated") == 0) & (F.element_at("Url", 1) == F.lag(F.element_at("Url", -1)).over(Window.partitionBy("feature_id").orderBy("piece")))
+    each = p.select("feature_id", (F.size("NodeIds") - F.col("repeated") - cut).alias("nodes"), total(own).alias("tokens"),
+                    ((F.size(F.array_distinct("NodeIds")) > 384) | (total(sizes) > 4096)).cast("int").alias("over"), F.coalesce(goes_on, F.lit(False)).cast("int").alias("gaps"))
+    return each.groupBy("feature_id").agg(F.sum("nodes").alias("nodes"), F.sum("tokens").alias("tokens"), F.max("over").alias("over"), F.max("gaps").alias("gaps"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mix(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
@@ -167,3 +195,33 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share that each source reaches."""
     return _mixed(spark, sf_dir)[1]
+
+
+MIX_SQL = """WITH t AS (SELECT regexp_replace(lower(trim(source)), '[_\\s]+', '-', 'g') AS source, sum(greatest(coalesce(target_share, 0), 0)) AS target_share, max(greatest(coalesce(max_repeats, 0), 0)) AS max_repeats
+  FROM mix_targets WHERE source IS NOT NULL GROUP BY 1
+), d AS (SELECT doc_id, source, length(text) AS n, md5(CAST(doc_id AS VARCHAR)) AS key FROM (SELECT doc_id, regexp_replace(lower(trim(source)), '[_\\s]+', '-', 'g') AS source, text FROM documents WHERE text IS NOT NULL) JOIN t USING (source)
+), sizes AS (SELECT source, sum(n) AS size FROM d GROUP BY source), whole AS (SELECT sum(size) * 0.5 AS total FROM sizes
+), plan AS (SELECT source, target_share, max_repeats, coalesce(size, 0) AS size, target_share * total AS budget, CASE WHEN size > 0 THEN least(floor(target_share * total / size), max_repeats) ELSE 0 END AS epochs FROM t LEFT JOIN sizes USING (source), whole
+), run AS (SELECT doc_id, source, n, sum(n) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d
+), records AS (SELECT doc_id, source, CAST(n AS BIGINT) AS tokens, CAST(epochs + CASE WHEN epochs < max_repeats AND upto - n / 2 <= budget - epochs * size THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM run JOIN plan USING (source))"""
+
+
+def _mixed_chars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", source_key(F.col("source")).alias("source"), F.length("text").cast("long").alias("tokens"))
+    return mix(docs, table(spark, sf_dir, "mix_targets"), key=F.md5(F.col("doc_id").cast("string")))
+
+
+@registry.add(MIX_SQL + " SELECT doc_id, source, tokens, repeats FROM records WHERE repeats > 0")
+def p9_mix_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix with sizes in characters and keys by a digest that SQL has too."""
+    return _mixed_chars(spark, sf_dir)[0]
+
+
+@registry.add(
+    MIX_SQL
+    + """ SELECT source, CAST(coalesce(m.tokens, 0) AS BIGINT) AS tokens, coalesce(m.documents, 0) AS documents, round(coalesce(m.tokens, 0) / total, 9) AS share_of_total, size * max_repeats < budget AS short
+    FROM plan LEFT JOIN (SELECT source, sum(tokens * repeats) AS tokens, count(*) AS documents FROM records WHERE repeats > 0 GROUP BY source) m USING (source), whole"""
+)
+def p9_shares_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that this mix reaches."""
+    return _mixed_chars(spark, sf_dir)[1].select("source", "tokens", "documents", F.round("share_of_total", 9).alias("share_of_total"), "short")

@@ -1,9 +1,9 @@
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 
 from pagesieve.llm.mixing import mix, source_key, token_counts
-from pagesieve.llm.splitting import Limits, pieces, split_row
+from pagesieve.llm.splitting import Limits, oversized, pieces, split_row
 
 SMALL = Limits(nodes=12, tokens=60, overlap_nodes=3, overlap_tokens=5)
 
@@ -33,7 +33,7 @@ def check(nodes, tokens, urls, limits):
     return got
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=200, deadline=None, phases=[Phase.explicit, Phase.generate])
 @given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["a", "b", None])), max_size=60), st.randoms(use_true_random=False))
 def test_any_row(entries, rng):
     nodes = [0 if rng.random() < 0.05 else 1000 - 3 * i - rng.randint(0, 2) for i in range(len(entries))]
@@ -58,7 +58,7 @@ def test_pieces_table(spark):
     rows = [(1, [[0, 5, 2]] * 500, list(range(600, 100, -1)), ["u"] * 500, 1), (2, None, None, None, 1), (3, [], [], [], 1), (4, [[0, 2, 1], [1]], [5, 0], [None, "u"], 1), (5, [[0, 5, 2]] * 500, list(range(600, 100, -1)), ["u"] * 500, 1)]
     df = spark.createDataFrame(rows, "feature_id LONG, TokenId ARRAY<ARRAY<INT>>, NodeIds ARRAY<INT>, Url ARRAY<STRING>, piece INT")
     got = pieces(df)
-    assert {r.feature_id for r in got.where("oversized").collect()} == {1, 5}
+    assert {r.feature_id for r in oversized(df).collect()} == {1, 5} and oversized(df.limit(0)).count() == 0
     assert {r.feature_id: r["count"] for r in got.groupBy("feature_id").count().collect()} == {1: 2, 4: 1, 5: 2}
     assert got.where("feature_id = 4").first().TokenId == [[0, 2]] and pieces(df.limit(0)).count() == 0
 
@@ -106,12 +106,32 @@ def test_tokens(spark):
     assert [r[0] for r in df.select(source_key(df.source)).collect()][:2] == ["cc-news", "cc-news"]
 
 
-@pytest.mark.parametrize("name", ["p7_found"])
+def test_operator_cuts_like_the_row(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        n = rng.randint(0, 60)
+        tokens = [[0, *(rng.randint(3, 9) for _ in range(rng.choice((2, 5, 9, 80)))), 2, 1] for _ in range(n)]
+        rows.append((i, tokens, [rng.choice((0, 1000 - 3 * k)) if rng.random() < 0.2 else 1000 - 3 * k for k in range(n)], [rng.choice(("a", "a", "a", "b", None)) for _ in range(n)]))
+    df = spark.createDataFrame(rows, "feature_id LONG, TokenId ARRAY<ARRAY<INT>>, NodeIds ARRAY<INT>, Url ARRAY<STRING>")
+    got = {(r.feature_id, r.piece): (r.NodeIds, r.TokenId, r.Url, r.repeated) for r in pieces(df, SMALL).collect()}
+    want = {(i, k): (p["node_ids"], p["token_ids"], p["urls"], p["repeated"]) for i, t, n, u in rows for k, p in enumerate(split_row(n, t, u, SMALL))}
+    assert got == want and {r.feature_id for r in oversized(df, SMALL).collect()} == {i for i, k in want if k == 1}
+
+
+@pytest.mark.parametrize("name", ["p7_found", "p7_checked", "p9_mix_chars", "p9_shares_chars"])
 def test_against_sql(spark, name):
     import duckdb
 
     from pagesieve.llm.queries import registry
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW page_features AS SELECT * FROM '/root/testdata/sf0.1/page_features.parquet'")
-    assert sorted(r[0] for r in registry.queries[name](spark, "/root/testdata/sf0.1").collect()) == sorted(r[0] for r in con.execute(registry.sql[name]).fetchall())
+    for t in ("page_features", "documents", "mix_targets"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    cur = con.execute(registry.sql[name])
+    names = [d[0] for d in cur.description]
+    df = registry.queries[name](spark, "/root/testdata/sf0.01")
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(map(str, r)) for r in df.select(*names).collect()) == sorted(tuple(map(str, r)) for r in cur.fetchall())
