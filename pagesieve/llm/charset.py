@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import site_of
-from pagesieve.session import BROADCAST_LIMIT, stage
+from pagesieve.session import keyed_join, rows_and_bytes, stage
 
 ROUNDS = 4
 #: Pseudo-count of cells by which all sites' chain shares stand behind one site's.
@@ -35,9 +36,8 @@ UNSEEN = 0.5
 BACKOFF = 0.02
 #: Assigned characters of Unicode, about.
 CHARACTERS = 150_000
-#: Cells alike in one record count so often at most, as one word repeated is one piece of evidence.
-ALIKE = 2
-SALTS = 32
+#: Characters of other scripts share the chances of their block of so many code points.
+SHARED = 1024
 
 # The encoding chains, (read as, written in, times).
 CHAINS = (
@@ -222,8 +222,10 @@ def undo_cell(cell: str, chain: tuple[str, str, int]) -> tuple[str, bool] | None
     return None if got is None else (got, False)
 
 
+@lru_cache(maxsize=1 << 14)
 def explanations(cell: str) -> dict[int, list[str]]:
-    """For each state that can explain the cell, the restored characters in their context."""
+    """For each state that can explain the cell, the restored characters in their context. Distinct cells are few, and a worker
+    meets them again in each round."""
     if "�" in cell:
         return {LOST: []}
     out = {SOUND: units(cell)}
@@ -234,6 +236,13 @@ def explanations(cell: str) -> dict[int, list[str]]:
     return out
 
 
+def shared(unit: str) -> str:
+    """The unit as it is counted: characters of the scripts that the chains write, of punctuation and of signs stand for
+    themselves, all others for their block. So there are at most 6,100 of them, in 256 contexts, whatever the corpus."""
+    o = ord(unit[0])
+    return unit if o < 0x590 or 0x1E00 <= o < 0x2C00 else chr(o // SHARED * SHARED if o // SHARED * SHARED != 0xD800 else 0xE000) + unit[1:]
+
+
 class Chances:
     """Log chance of a character in its context; an unseen context backs off to the character, and an unseen
     character shares its mass with all of Unicode."""
@@ -243,14 +252,21 @@ class Chances:
         single: Counter = Counter()
         for u, w in counts.items():
             single[u[0]] += w
-        self.log = {u: math.log((w + UNSEEN * 0.1) / self.total) + implausible(u) for u, w in counts.items()}
+        self.log = {u: math.log((w + UNSEEN * 0.1) / self.total) for u, w in counts.items()}
         self.single = {c: math.log(BACKOFF * (w + UNSEEN * 0.1) / self.total) for c, w in single.items()}
         self.none = math.log(UNSEEN / self.total / CHARACTERS)
+        self.known: dict[str, float] = {}
 
     def __call__(self, unit: str) -> float:
-        got = self.log.get(unit)
+        got = self.known.get(unit)
         if got is None:
-            got = self.log[unit] = self.single.get(unit[0], self.none) + implausible(unit)
+            u = shared(unit)
+            got = self.log.get(u)
+            if got is None:
+                got = self.single.get(u[0], self.none)
+            got += implausible(unit) - (math.log(SHARED) if u[0] != unit[0] or u is not unit else 0.0)
+            if len(self.known) < 200_000:
+                self.known[unit] = got
         return got
 
 
@@ -284,19 +300,16 @@ def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for cell, weights in zip(batch.column("cell").to_pylist(), batch.column("weights").to_pylist(), strict=True):
             for state, us in explanations(cell).items():
-                if weights[state] > 1e-9:
+                if weights[state] > 0:
                     for u in us:
-                        seen[u] += weights[state]
+                        seen[shared(u)] += weights[state]
         yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.float64())], ["unit", "w"])
 
 
 def _chances(weighted: DataFrame) -> Chances:
-    """Log chances of the restored characters. Their number is bounded by the characters of Unicode times the kinds of
-    neighbours, and checked before they are sent out."""
-    counted = weighted.mapInArrow(_unit_counts, "unit STRING, w DOUBLE").groupBy("unit").agg(F.sum("w").alias("w")).where("w > 1e-6")
-    got = counted.toArrow()
-    if got.nbytes > BROADCAST_LIMIT:
-        raise ValueError("more kinds of characters in context than Unicode text can hold")
+    """Log chances of the restored characters: at most 6,100 characters and blocks in 256 contexts come to the driver, some 20
+    bytes each, whatever the corpus."""
+    got = weighted.mapInArrow(_unit_counts, "unit STRING, w DOUBLE").groupBy("unit").agg(F.sum("w").alias("w")).toArrow()
     return Chances(dict(zip(got["unit"].to_pylist(), got["w"].to_pylist(), strict=True)))
 
 
@@ -312,9 +325,11 @@ def fit(records: DataFrame) -> tuple[Chances, DataFrame, list[float]]:
     chance = _chances(counts.groupBy("cell").agg(F.sum("n").cast("double").alias("n")).select("cell", F.transform(first, lambda x: x * F.col("n")).alias("weights")))
     overall, shares = _prior(), None
     distinct = stage(counts.select("cell").distinct(), "distinct")
+    n, size = rows_and_bytes(distinct, "cell")
+    cells_bytes = size + n * STATES * 9
     for _ in range(ROUNDS):
         logs = distinct.mapInArrow(_cell_logs(chance), "cell STRING, logs ARRAY<DOUBLE>")
-        joined = counts.join(logs, "cell")
+        joined = keyed_join(counts, logs, ["cell"], cells_bytes, F.xxhash64("field", "site"))
         if shares is not None:
             joined = joined.join(shares, ["field", "site"], "left")
         prior = F.array(*map(F.lit, overall)) if shares is None else F.coalesce("share", F.array(*map(F.lit, overall)))
@@ -349,9 +364,12 @@ def restore(text: str, share, logs, tilted: bool = True) -> tuple[int, float, st
     tilted is False where no share is greater than that of sound text, so that nothing is garbled without a gain."""
     found = cells(text)
     gains: dict[int, float] = {}
-    for c, n in Counter(c for c, _, _ in found).items():
+    alike = Counter(c for c, _, _ in found)
+    # one word repeated is little more evidence than once: the weight of cells alike grows with the logarithm of their number
+    weight = {c: 1 + math.log(n) for c, n in alike.items()}
+    for c in alike:
         for state, gain in logs(c)[1]:
-            gains[state] = gains.get(state, 0.0) + gain * min(n, ALIKE)
+            gains[state] = gains.get(state, 0.0) + gain * weight[c]
     if not gains and not tilted:
         return None
     share = share()
@@ -364,13 +382,11 @@ def restore(text: str, share, logs, tilted: bool = True) -> tuple[int, float, st
         best, sure = LOST, 1.0
     else:
         # the cells of a line are garbled together or not at all
-        lines: dict[int, Counter] = {}
-        seen: Counter = Counter()
+        lines: dict[int, dict[str, float]] = {}
         breaks = [m.start() for m in _break.finditer(text)]
         for c, a, _, _ in known:
-            seen[c] += 1
-            if seen[c] <= ALIKE:
-                lines.setdefault(bisect_left(breaks, a), Counter())[c] += 1
+            line = lines.setdefault(bisect_left(breaks, a), {})
+            line[c] = line.get(c, 0.0) + weight[c] / alike[c]
         by = {c: g for c, _, _, g in known}
         score = {SOUND: math.log(share[SOUND]) + sum(n * by[c][SOUND] for line in lines.values() for c, n in line.items())}
         for state in {s for g in by.values() for s in g if s != SOUND}:
@@ -456,10 +472,6 @@ def garbled(records: DataFrame) -> DataFrame:
     kept = records.where("url IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike("[^\\x00-\\x7f]"))
     kept = kept.select("field", "url", "node_id", "text", site_of(F.col("url")).alias("site"))
     chance, shares, overall = fit(kept.select("field", "site", "text"))
-    if shares.count() * (STATES * 8 + 64) <= BROADCAST_LIMIT:
-        joined = kept.join(F.broadcast(shares), ["field", "site"], "left")
-    else:
-        salted = shares.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = kept.withColumn("_salt", F.pmod(F.xxhash64("url", "node_id"), F.lit(SALTS)).cast("int")).join(salted, ["field", "site", "_salt"], "left")
+    joined = keyed_join(kept, shares, ["field", "site"], shares.count() * (STATES * 8 + 64), F.xxhash64("url", "node_id"), "left")
     ddl = "table_name STRING, url STRING, node_id INT, chain STRING, posterior DOUBLE, restorable BOOLEAN, restored STRING"
     return joined.select("field", "url", "node_id", "text", "share").mapInArrow(_mark(chance, overall), ddl)
