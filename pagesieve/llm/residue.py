@@ -76,12 +76,21 @@ _opens, _status = re.compile(r"[{%*\[<_@|~]"), re.compile(r"[45]\d\d")
 _quoted = re.compile(r"[“\"«„‘'][^”\"»“’']{1,60}[”\"»“’']")
 _same = re.compile(r"\W*(\w+)(?:\W+\1){2,}\W*", re.I)
 _unit = re.compile(r"(?<=[.!?…])[”\"»]?\s+")
-_mask = re.compile(r"(?<!\S)(?=\S*[\d/\\@])\S+")
-_loose = re.compile(r"\w+|[{}]+|\n")
+# what stands between blanks and holds a number or a path is one word, else words are runs of letters
+_number = re.compile(r"[\d/\\@]")
+_loose = re.compile(r"(?<!\S)\S*[\d/\\@]\S*|\w+|[{}]+|\n")
+_token = re.compile(r"[^\W\d_]+")
+_ENDS = frozenset(".!?…")
 _hints = ahocorasick.Automaton()
 for _h in HINTS:
     _hints.add_word(_h, _h)
 _hints.make_automaton()
+# whatever line is filler has one of the longer words that are no function words
+_fillers = ahocorasick.Automaton()
+for _h in FILLER - ALL_COMMON:
+    if len(_h) >= 4:
+        _fillers.add_word(_h, _h)
+_fillers.make_automaton()
 
 
 def filler(words: list[str], least: int = 3) -> bool:
@@ -125,47 +134,69 @@ def _masked(units: list[str]) -> list[list[str]]:
     if _opens.search(text):
         text = _field.sub("{}", text)
     capitals = [u.isupper() for u in units]
+    words = _loose.findall(text)
     out: list[list[str]] = [[]]
-    got, at, start = out[0], 0, True
-    words = _loose.findall(_mask.sub("0", text))
-    words.append("\n")
+    got, at, start, last = out[0], 0, True, len(words) - 1
     for i, w in enumerate(words):
-        if w == "\n":
-            got, at, start = [], at + 1, True
-            out.append(got)
-            continue
-        low = w.lower()
-        # a name starts a sentence only before another capital
-        if low == w or capitals[at] or start and words[i + 1].lower() == words[i + 1]:
-            got.append(low)
-        elif not got or got[-1] != "N":
-            got.append("N")
-        start = False
-    return out[:-1]
+        if not w.isalpha():
+            if w == "\n":
+                got, at, start = [], at + 1, True
+                out.append(got)
+            else:
+                got.append("0" if _number.search(w) else w.lower())
+                start = False
+        elif w.islower():
+            got.append(w)
+            start = False
+        else:
+            low = w.lower()
+            # a name starts a sentence only before another capital
+            if low == w or capitals[at] or start and (i == last or words[i + 1] == words[i + 1].lower()):
+                got.append(low)
+            elif not got or got[-1] != "N":
+                got.append("N")
+            start = False
+    return out
+
+
+def _prose(lines: list[str], signed: set[int]) -> list[bool]:
+    """Whether each line is prose. Once the lines without a sign hold LONG_TEXT words of prose the text is a full one whatever
+    else is prose in it, so the flags of the lines behind are left False."""
+    words, stop = 0, len(lines)
+    for i, x in enumerate(lines):
+        words += x.count(" ") + 1
+        if words >= LONG_TEXT + 60:
+            stop = i + 1
+            break
+    parsed = [Line(x) for x in lines[: stop + 2]]
+    flags = prose_flags(parsed)[:stop]
+    if stop < len(lines) and sum({x.text: len(x.words) for i, (x, f) in enumerate(zip(parsed, flags, strict=False)) if f and i not in signed}.values()) < LONG_TEXT + 10:
+        return prose_flags(parsed + [Line(x) for x in lines[stop + 2 :]])
+    return flags + [False] * (len(lines) - len(flags))
 
 
 def look(text: str) -> Look:
     """The passages of a whole text but for its menu and footer lines. A filler line, a sentence that fills half of the document
     by three copies or more, and a stack trace are marked like signs; a copy of a sentence is no prose of its own."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    parsed = [Line(x) for x in lines]
-    flags = prose_flags(parsed)
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
     hinted = _hinted(text)
+    filling = next(_fillers.iter(text.lower()), None) is not None
     units: list[str] = []
-    facts: list[list] = []  # line, signed, prose, whether a trace
+    facts: list[list] = []  # line, signed, whether a trace
     chrome: list[str] = []
-    weak, seen = 3, set()
-    for at, (x, me, prose) in enumerate(zip(lines, parsed, flags, strict=True)):
-        short = len(me.words) <= 3
-        if short and IDLE.search(x):
+    weak = 3
+    for at, x in enumerate(lines):
+        blanks = x.count(" ")
+        if blanks < 3 and IDLE.search(x):
             continue
-        filled = filler(me.words, weak)
-        trace = not me.closes and bool(TRACE.search(x))
-        signed = not filled and not trace and (hinted or len(set(me.words)) == 1) and is_residue(x)
-        if not (filled or trace or signed or me.closes) and (not prose and len(me.words) <= 8 or CHROME.search(x)):
-            chrome.append(x.strip())
+        closes = x.rstrip("”\"»“’')]")[-1:] in _ENDS
+        filled = filling and filler(_token.findall(x.lower()), weak)
+        trace = not closes and bool(TRACE.search(x))
+        signed = not filled and not trace and (hinted or blanks > 1 and _same.fullmatch(x)) and is_residue(x)
+        if not (filled or trace or signed or closes) and (blanks < 8 or CHROME.search(x)):
+            chrome.append(x)
             continue
-        parts = [x.strip()] if short else [u.strip() for u in _unit.split(x) if u.strip()]
+        parts = [x] if blanks < 3 else [u for u in _unit.split(x) if u and not u.isspace()]
         if filled:
             marks, weak = [True] * len(parts), 1
         elif signed:
@@ -173,24 +204,26 @@ def look(text: str) -> Look:
             marks = marks if any(marks) else [True] * len(parts)
         else:
             marks = [False] * len(parts)
-        for u, mark in zip(parts, marks, strict=True):
-            low = u.lower()
-            units.append(u)
-            facts.append([at, mark, prose and low not in seen, trace])
-            seen.add(low)
+        units += parts
+        facts += [[at, mark, trace] for mark in marks]
+    seen = Counter(map(str.lower, units))
     if units and len(seen) * 2 < len(units) + 2:
-        copies = Counter(map(str.lower, units))
-        most = max(copies, key=lambda u: (copies[u], u))
-        if copies[most] >= 3 and copies[most] * len(most) * 2 >= sum(map(len, units)):
+        most = max(seen, key=lambda u: (seen[u], u))
+        if seen[most] >= 3 and seen[most] * len(most) * 2 >= sum(map(len, units)):
             for u, f in zip(units, facts, strict=True):
                 f[1] |= u.lower() == most
-    if sum(f[3] for f in facts) >= 2:
+    if sum(f[2] for f in facts) >= 2:
         for f in facts:
-            f[1] |= f[3]
+            f[1] |= f[2]
     words = _masked(units or chrome)
     got = Look([w for u in words for w in u])
     if units:
-        got.passages = [(" ".join(w), max(1, len(w)), mark, prose) for w, (_, mark, prose, _) in zip(words, facts, strict=True)]
+        flags = _prose(lines, {f[0] for f in facts if f[1]})
+        first: set[str] = set()
+        for u, w, (at, mark, _) in zip(units, words, facts, strict=True):
+            low = u.lower()
+            got.passages.append((" ".join(w), max(1, len(w)), mark, flags[at] and low not in first))
+            first.add(low)
         places = list(dict.fromkeys(f[0] for f in facts))[:2]
         got.leads = any(f[1] for f in facts if f[0] in places)
     return got
