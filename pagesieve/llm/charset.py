@@ -365,8 +365,8 @@ def restore(text: str, share, logs, tilted: bool = True) -> tuple[int, float, st
     found = cells(text)
     gains: dict[int, float] = {}
     alike = Counter(c for c, _, _ in found)
-    # one word repeated is little more evidence than once: the weight of cells alike grows with the logarithm of their number
-    weight = {c: 1 + math.log(n) for c, n in alike.items()}
+    # one word repeated is little more evidence than once: the weight of cells alike grows slowly, by the logarithm of their number
+    weight = {c: 1 + math.log(n) / 3 for c, n in alike.items()}
     for c in alike:
         for state, gain in logs(c)[1]:
             gains[state] = gains.get(state, 0.0) + gain * weight[c]
