@@ -245,14 +245,18 @@ def annotated(html: str) -> list[dict]:
 
 
 def original(html: str) -> str:
-    """The page without the markers of an annotated copy: ids and defaults are dropped, wrapped strings unwrapped."""
+    """The page without the markers of an annotated copy: ids and defaults are dropped, wrapped strings unwrapped. Pages of any
+    depth, as the walk keeps its own stack."""
     out: list[str] = []
-
-    def write(e: Element | Text) -> None:
+    stack: list[Element | Text | str] = list(reversed(build(html).children))
+    while stack:
+        e = stack.pop()
+        if isinstance(e, str):
+            out.append(e)
+            continue
         if isinstance(e, Text):
-            raw = e.raw
-            out.append(raw if e.silent else raw.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
-            return
+            out.append(e.raw if e.silent else e.raw.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+            continue
         attrs = dict(e.attrs)
         if e.tag == "html":
             attrs.pop("semanticlayout", None)
@@ -261,21 +265,16 @@ def original(html: str) -> str:
             del attrs[ID]
             if MARKER in attrs:
                 if all(isinstance(c, Text) for c in e.children):
-                    for c in e.children:
-                        write(c)
-                    return
+                    stack += reversed(e.children)
+                    continue
                 del attrs[MARKER]
         shown = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in attrs.items())
         if e.tag in VOID:
             out.append(f"<{e.tag}{shown}/>")
-            return
+            continue
         out.append(f"<{e.tag}{shown}>")
-        for c in e.children:
-            write(c)
-        out.append(f"</{e.tag}>")
-
-    for c in build(html).children:
-        write(c)
+        stack.append(f"</{e.tag}>")
+        stack += reversed(e.children)
     return "".join(out)
 
 

@@ -14,7 +14,10 @@ TASKS = ("Primary", "Heading", "Title", "Paragraph", "Table", "List")
 THRESHOLDS = (0.1, 0.25, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 SAVED = {"Primary": 0.9, "Heading": 0.25, "Title": 0.25, "Paragraph": 0.1, "Table": 0.1, "List": 0.1}
 
-Scorer = Callable[[dict[str, np.ndarray]], np.ndarray]
+#: Token ids of a chunk's nodes to six scores a node. A chunk is scored by itself, whatever else is in its batch.
+Scorer = Callable[[list[list[int]]], np.ndarray]
+#: Nodes that a chunk may have.
+CHUNK = 384
 
 
 def hashed_score(seed: Column, task: int) -> Column:
@@ -23,24 +26,36 @@ def hashed_score(seed: Column, task: int) -> Column:
 
 
 def scored(rows: DataFrame, scorer: Scorer) -> DataFrame:
-    """(Url, NodeId, scores) of rows with Url, NodeIds and TokenId: the scorer gets one batch of rows and gives six scores a node.
+    """(Url, NodeId, scores) of rows with Url, NodeIds and TokenId: the scorer gets the nodes of one row, cut into chunks of CHUNK
+    nodes where there are more, and gives six scores a node. Rows, and so pages and chunks, never see each other.
 
-    The scorer is loaded once in each Python worker; batches follow Arrow's batch size.
+    The scorer is loaded once in each Python worker. Null rows have no nodes; missing tokens are padding.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls, ids, tokens = (batch.column(c).to_pylist() for c in ("Url", "NodeIds", "TokenId"))
-            flat_url = [u for us in urls for u in us or ()]
-            flat_id = [i for row in ids for i in row or ()]
-            flat_tokens = [t for row in tokens for t in row or ()]
-            got = scorer({"node_ids": np.array(flat_id), "tokens": np.array(flat_tokens, dtype=object)}) if flat_id else np.empty((0, 6))
-            scores = pa.array([row.astype(np.float32) for row in got], pa.list_(pa.float32()))
-            yield pa.record_batch([pa.array(flat_url, pa.string()), pa.array(flat_id, pa.int32()), scores], ["Url", "NodeId", "scores"])
+            flat_url, flat_id, parts = [], [], []
+            for urls, ids, tokens in zip(*(batch.column(c).to_pylist() for c in ("Url", "NodeIds", "TokenId")), strict=True):
+                ids = ids or []
+                tokens = [t or [] for t in (tokens or [])][: len(ids)]
+                tokens += [[]] * (len(ids) - len(tokens))
+                for at in range(0, len(ids), CHUNK):
+                    parts.append(np.asarray(scorer(tokens[at : at + CHUNK]), np.float32))
+                flat_id += ids
+                flat_url += [(urls or [None])[min(i, len(urls or [None]) - 1)] for i in range(len(ids))]
+            scores = [r for p in parts for r in p.tolist()]
+            yield pa.record_batch([pa.array(flat_url, pa.string()), pa.array(flat_id, pa.int32()), pa.array(scores, pa.list_(pa.float32()))], ["Url", "NodeId", "scores"])
 
     return rows.select("Url", "NodeIds", "TokenId").mapInArrow(run, "Url STRING, NodeId INT, scores ARRAY<FLOAT>")
 
 
+def infer(rows: DataFrame, scorer: Scorer, tasks: tuple[str, ...] = ("Primary",)) -> DataFrame:
+    """(Url, TextNodeId, Task) of feature rows: scores, each task's own threshold, and every node of a page once over all of its
+    chunks. Entries without a url are left out."""
+    got = scored(rows, scorer).where("Url IS NOT NULL").select(F.col("Url").alias("url"), F.col("NodeId").alias("node_id"), "scores")
+    return saved(exploded(got), tasks)
+
+
 def exploded(scores: DataFrame) -> DataFrame:
     """(url, node_id, task, score) from (url, node_id, scores)."""
     named = F.arrays_zip(F.array(*map(F.lit, TASKS)).alias("task"), F.col("scores").alias("score"))
@@ -79,14 +94,14 @@ def saved(scores: DataFrame, tasks: tuple[str, ...] = ("Primary",)) -> DataFrame
 
 
 def numpy_scorer(weights: dict[str, np.ndarray], width: int = 5, heads: int = 8) -> Scorer:
-    """The forward pass of the node scorer over given weights: mean token embedding, linear, positions, attention layers,
-    linear, sigmoid. weights has embed, in_w, in_b, pos, layers.<i>.(q|k|v|o)_(w|b), (norm1|norm2)_(w|b), ff1_(w|b), ff2_(w|b), out_w, out_b."""
+    """The forward pass of the node scorer over given weights, for the nodes of one chunk: mean token embedding, linear,
+    positions from the chunk's start, attention among the chunk's nodes alone, linear, sigmoid. weights has embed, in_w, in_b, pos, layers.<i>.(q|k|v|o)_(w|b), (norm1|norm2)_(w|b), ff1_(w|b), ff2_(w|b), out_w, out_b."""
 
     def norm(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-12) * w + b
 
-    def run(batch: dict[str, np.ndarray]) -> np.ndarray:
-        ids = np.array([([*t[: width - 1], 2] + [1] * width)[:width] for t in batch["tokens"]])
+    def run(tokens: list[list[int]]) -> np.ndarray:
+        ids = np.array([([*t[: width - 1], 2] + [1] * width)[:width] for t in tokens])
         on = (ids != 1)[..., None]
         x = (weights["embed"][ids] * on).sum(1) / np.maximum(on.sum(1), 1)
         x = x @ weights["in_w"] + weights["in_b"]
@@ -108,3 +123,21 @@ def numpy_scorer(weights: dict[str, np.ndarray], width: int = 5, heads: int = 8)
         return 1 / (1 + np.exp(-(x @ weights["out_w"] + weights["out_b"])))
 
     return run
+
+
+def small_weights(vocabulary: int = 1000, size: int = 8, seed: int = 0) -> dict[str, np.ndarray]:
+    """A small fixed weight set, in place of a trained one: embeddings, positions, one layer and the output."""
+    rng = np.random.default_rng(seed)
+    make = lambda *shape: rng.normal(0, 0.5, shape)
+    w = {"embed": make(vocabulary, size), "in_w": make(size, size), "in_b": make(size), "pos": make(CHUNK, size), "out_w": make(size, 6), "out_b": make(6)}
+    for n in ("q", "k", "v", "o"):
+        w |= {f"layers.0.{n}_w": make(size, size), f"layers.0.{n}_b": make(size)}
+    for n in ("norm1", "norm2"):
+        w |= {f"layers.0.{n}_w": np.ones(size), f"layers.0.{n}_b": np.zeros(size)}
+    return w | {"layers.0.ff1_w": make(size, 2 * size), "layers.0.ff1_b": make(2 * size), "layers.0.ff2_w": make(2 * size, size), "layers.0.ff2_b": make(size)}
+
+
+def load_weights(path: str) -> dict[str, np.ndarray]:
+    """Weights of an .npz file by the names of numpy_scorer."""
+    with np.load(path) as f:
+        return {k: f[k] for k in f.files}

@@ -8,27 +8,64 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagesieve.session import broadcast_if_small, rows_and_bytes, stage
+
 EPS = 1e-7
 # Name, positive, negative and class weight of each class.
 CLASS_WEIGHTS = {0: ("Primary", 1.0, 1.0, 1.0), 1: ("Heading", 1.0, 1.0, 1.0), 2: ("Title", 1.0, 1.0, 1.0), 3: ("Paragraph", 1.0, 1.0, 1.0), 4: ("Table", 1.0, 1.0, 1.0), 5: ("List", 1.0, 1.0, 1.0)}
 
 
+#: Rows of a part whose ranks one task makes.
+PART_ROWS = 200_000
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """rows with _rank, the place from 0 in their group, and _all, the size of the group. Rows are placed by ranges of group and
+    order and each range is counted, so that a group of any size is ranked by as many tasks as its rows need."""
+    spread = max(1, -(-rows.count() // PART_ROWS))
+    keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    names = [f"_o{i}" for i in range(len(order))]
+    placed = stage(rows.select("*", *keys).repartitionByRange(spread, *(group or [F.lit(0)]), *names).withColumn("_part", F.spark_partition_id()), "placed")
+    # one row a group and range: groups plus ranges at most
+    sums = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group)
+    offsets = sums.select(*group, "_part", F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.sum("_n").over(w).alias("_all"))
+    offsets = offsets.select(*(F.col(c).alias(f"_of_{c}") for c in [*group, "_part"]), "_offset", "_all")
+    n, size = rows_and_bytes(sums, *[f.name for f in sums.schema.fields if f.dataType.simpleString() == "string"])
+    within = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*names)) - 1
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*group, "_part"]]
+    joined = placed.withColumn("_place", within).join(broadcast_if_small(offsets, size + 16 * n), on)
+    return joined.select(*rows.columns, (F.col("_offset") + F.col("_place")).alias("_rank"), "_all")
+
+
 def shuffled(rows: DataFrame, file: str, line: str, seed: int) -> DataFrame:
     """rows with place, their rank in a seeded order of each file; a seed of -1 keeps the order of lines."""
     key = F.col(line) if seed == -1 else F.xxhash64(file, line, F.lit(seed))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(file).orderBy(key, line)) - 1)
+    return ranked(rows, [file], [key, F.col(line)]).withColumn("place", F.col("_rank").cast("int")).drop("_rank", "_all")
 
 
-def shard(order: list[Column], workers: int, partition: list[str] | None = None) -> Column:
-    """Number of the contiguous slice of a worker; the first n mod workers slices have one row more."""
-    return F.ntile(workers).over(Window.partitionBy(*(partition or [])).orderBy(*order)) - 1
+def sharded(rows: DataFrame, order: list[Column], workers: int, group: list[str] | None = None) -> DataFrame:
+    """rows with worker, the number of the contiguous slice they fall in; the first n mod workers slices have one row more."""
+    small, more = F.floor(F.col("_all") / workers), F.col("_all") % workers
+    front = more * (small + 1)
+    worker = F.when(F.col("_rank") < front, F.floor(F.col("_rank") / (small + 1))).otherwise(more + F.floor((F.col("_rank") - front) / F.greatest(small, F.lit(1))))
+    return ranked(rows, group or [], order).withColumn("worker", worker.cast("int")).drop("_rank", "_all")
 
 
 def truncated(rows: DataFrame, file: str, line: str, multiple: int = 1) -> DataFrame:
     """rows of each file up to the largest multiple."""
-    w = Window.partitionBy(file)
-    placed = rows.withColumn("_place", F.row_number().over(w.orderBy(line))).withColumn("_all", F.count(F.lit(1)).over(w))
-    return placed.where(F.col("_place") <= F.col("_all") - F.col("_all") % multiple).drop("_place", "_all")
+    return ranked(rows, [file], [F.col(line)]).where(F.col("_rank") < F.col("_all") - F.col("_all") % multiple).drop("_rank", "_all")
+
+
+def running_mean(losses: DataFrame, step: str, loss: str, limit: int | None = None) -> DataFrame:
+    """(step, loss, mean, gap) of a run's finite losses in the order of steps, the first `limit` of them: the mean so far, and the
+    gap of each loss to the one before. A run's steps are few and stand in one sequence."""
+    ok = losses.where(~F.isnan(loss) & (F.abs(loss) != float("inf"))).select(F.col(step).alias("step"), F.col(loss).alias("loss"))
+    if limit is not None:
+        ok = ok.orderBy("step").limit(limit)
+    w = Window.orderBy("step")
+    so_far = F.avg("loss").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ok.select("step", "loss", so_far.alias("mean"), (F.col("loss") - F.lag("loss").over(w)).alias("gap"))
 
 
 def class_weights(spark: SparkSession, overrides: dict[int, tuple] | None = None) -> DataFrame:

@@ -451,18 +451,38 @@ def title_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("SELECT event_id, CAST(ntile(64) OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INT) AS worker FROM events")
 def shard_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", training.shard([F.col("event_id")], 64, ["event_type"]).alias("worker"))
+    return training.sharded(table(spark, sf_dir, "events").select("event_id", "event_type"), [F.col("event_id")], 64, ["event_type"]).select("event_id", "worker")
 
 
 @registry.add("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r <= n - n % 128")
 def truncate_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.truncated(table(spark, sf_dir, "events"), "event_type", "event_id", 128).select("event_id")
+    return training.truncated(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id", 128).select("event_id")
 
 
-@registry.add()
+@registry.add(
+    """WITH e AS (SELECT event_id AS step, value AS loss FROM events ORDER BY event_id LIMIT 1000)
+    SELECT step, loss, round(avg(loss) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS mean, round(loss - lag(loss) OVER (ORDER BY step), 6) AS gap FROM e"""
+)
+def loss_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running mean and gap of the losses up to a step limit."""
+    got = training.running_mean(table(spark, sf_dir, "events"), "event_id", "value", 1000)
+    return got.select("step", "loss", F.round(F.col("mean") + 1e-9, 6).alias("mean"), F.round("gap", 6).alias("gap"))
+
+
+@registry.add(
+    """WITH x AS (SELECT unnest(NodeIds) AS n, unnest(Url) AS url FROM page_features) SELECT url AS "Url", count(DISTINCT n) AS nodes FROM x WHERE url IS NOT NULL GROUP BY url"""
+)
+def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each page that the node scorer gives scores to, over a small fixed weight set: every node of every chunk."""
+    rows = table(spark, sf_dir, "page_features").select("Url", "NodeIds", F.transform("TokenId", lambda t: F.transform(t, lambda x: F.when(x <= 2, x).otherwise(3 + x % 997))).alias("TokenId"))
+    got = predict.scored(rows, predict.numpy_scorer(predict.small_weights())).where("Url IS NOT NULL AND size(scores) = 6 AND scores[0] BETWEEN 0 AND 1")
+    return got.groupBy("Url").agg(F.countDistinct("NodeId").alias("nodes"))
+
+@registry.add("SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INT) AS place, CAST(1 AS BIGINT) AS rows FROM events")
 def line_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded order of the rows of each group."""
-    return training.shuffled(table(spark, sf_dir, "events"), "event_type", "event_id", 42).select("event_id", "event_type", "place")
+    """The places of a seeded order of the rows of each group: each place once."""
+    got = training.shuffled(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id", 42)
+    return got.groupBy("event_type", "place").agg(F.countDistinct("event_id").alias("rows"))
 
 
 @registry.add(

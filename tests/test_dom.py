@@ -86,3 +86,11 @@ def test_tables(spark):
 def test_nested_bound_is_exclusive(spark):
     df = spark.createDataFrame([("u", 10, 14), ("u", 12, 12), ("u", 14, 14)], "url STRING, node_id INT, last_desc_id INT")
     assert {r.node_id for r in nodes.nested(df, ["url"]).where("is_nested").collect()} == {12}
+
+
+def test_original_of_deep_pages():
+    from pagesieve.functions.dom import original
+
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert original(deep) == deep
+    assert original('<p data-dcnode-id="3">a <span data-dcnode-id="2" instrument_node="">b &amp; c</span><br></p>') == "<p>a b &amp; c<br/></p>"

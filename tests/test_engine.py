@@ -89,13 +89,38 @@ def test_fallback_and_flags(spark):
     assert {(r.type, tuple(r.node_ids)) for r in labels.annotation_map(ann, nodes).collect()} == {(1, (1,)), (6, (2,))}
 
 
-def test_shards(spark):
-    df = spark.range(10).withColumn("w", training.shard([F.col("id")], 4))
-    assert sorted(r["count"] for r in df.groupBy("w").count().collect()) == [2, 2, 3, 3]
+def test_shards(spark, monkeypatch):
+    monkeypatch.setattr(training, "PART_ROWS", 7)
+    df = spark.range(50).select("id", F.when(F.col("id") < 40, "big").when(F.col("id") < 47, "small").alias("g"))
+    got = [r["count"] for r in training.sharded(df.where("id < 10"), [F.col("id")], 4).groupBy("worker").count().orderBy("worker").collect()]
+    assert got == [3, 3, 2, 2]
+    places = {(r.g, r.place) for r in training.shuffled(df, "g", "id", 3).collect()}
+    assert places == {("big", i) for i in range(40)} | {("small", i) for i in range(7)} | {(None, i) for i in range(3)}
+    assert {r.id for r in training.truncated(df, "g", "id", 6).collect()} == {*range(36), *range(40, 46)}
+    assert training.sharded(df.limit(0), [F.col("id")], 4).count() == 0
     with pytest.raises(ValueError):
         training.learning_rate(df.id, "none", 1, 1, 1, 1)
 
 
+def test_scores_do_not_depend_on_batches(spark):
+    rng = __import__("random").Random(1)
+    rows = [([f"u{i}"] * n, list(range(n, 0, -1)), [[0, *(rng.randrange(3, 999) for _ in range(rng.randint(0, 6))), 2] for _ in range(n)]) for i, n in enumerate((1, 5, 300, 420, 0, 40))]
+    df = spark.createDataFrame([*rows, (None, None, None)], "Url ARRAY<STRING>, NodeIds ARRAY<INT>, TokenId ARRAY<ARRAY<INT>>")
+    scorer = predict.numpy_scorer(predict.small_weights())
+    alone = {}
+    for urls, ids, tokens in rows:
+        for at in range(0, len(ids), 384):
+            alone |= dict(zip([(urls[0], i) for i in ids[at : at + 384]], [tuple(round(float(x), 5) for x in r) for r in scorer(tokens[at : at + 384])], strict=True))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {(r.Url, r.NodeId): tuple(round(x, 5) for x in r.scores) for r in predict.scored(df.coalesce(1), scorer).collect()}
+        assert got.keys() == alone.keys() and all(got[k] == pytest.approx(alone[k], abs=2e-5) for k in got)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {k for k, v in alone.items() if v[0] > 0.9}
+    assert {(r.Url, r.TextNodeId) for r in predict.infer(df, scorer).collect()} == want
+
+
 def test_extract_drops_nulls(spark):
     p = spark.createDataFrame([("u", 1, "Primary"), ("u", 2, "Primary"), ("u", None, "Primary"), ("v", 1, "List")], "Url STRING, TextNodeId INT, Task STRING")
     t = spark.createDataFrame([("u", 1, "b"), ("u", 2, "a"), ("u", 2, "a"), ("v", 1, None)], "Url STRING, TextNodeId INT, Text STRING")
