@@ -164,10 +164,10 @@ def planned(page_features: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     long = F.exists("tokens", lambda t: F.size(t) > limits.tokens)
     last = lambda t, i: F.try_element_at(t, F.lit(-i))
-    end = lambda t: F.when(long & (F.size(t) > 2) & (last(t, 1) == END), last(t, 2))
+    end = lambda t: F.when((F.size(t) > 2) & (last(t, 1) == END), last(t, 2))
     made = plan(
         "ids", F.transform("tokens", F.size), F.transform("urls", lambda u: F.when(u.isNotNull(), F.xxhash64(u))),
-        F.transform("tokens", end), F.transform("tokens", lambda t: F.when(F.size(t) > limits.tokens, t)),
+        F.coalesce(F.when(long, F.transform("tokens", end)), none), F.transform("tokens", lambda t: F.when(F.size(t) > limits.tokens, t)),
     )
     return rows.withColumn("plan", made)
 
