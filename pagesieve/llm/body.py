@@ -5,7 +5,7 @@ neighbouring text nodes is the number of tags that close between them. A node's
 before and after it, which stands in for the root-to-leaf tag path where the table has no tags. Text length and
 punctuation are summed per path, their ratios fused and smoothed along the page; the fused ratio, with how often
 a text stands on other pages, the frequent texts around it, the model's picks and the node's shape, goes to a
-linear model fitted on a bounded sample of judged pages, and its threshold selects the content nodes.
+linear model fitted on every judged node, and its threshold selects the content nodes.
 
 Only numbers are shuffled: a node's text is reduced to hashes, lengths and flags where it is read. Long pages are
 cut into blocks of BLOCK ids, so no page, however long, makes one large group.
@@ -27,12 +27,12 @@ from pagesieve.session import keyed_join, stage
 
 #: Ids of one page that are looked at together, and how far a node sees.
 BLOCK, NEAR = 8192, 1024
-#: At most so many judged pages, and judged nodes of them, are used to fit the model and the bounds.
-MAX_JUDGED_PAGES, MAX_JUDGED_NODES = 1500, 200_000
+#: Pages with judgments are dealt out to groups of about so many nodes, each of which fits a model for the mean of all groups.
+GROUP = 65_536
 #: Share of judgments beyond a bound that may say the contrary; about one in a hundred judgments is wrong.
 CONTRARY = 0.011
-#: Hashed features of the linear model.
-WIDTH = 1 << 19
+#: Hashed features of the linear model, parts of one that weights are rounded to, and steps of the ratio that bounds are told by.
+WIDTH, UNIT, STEPS = 1 << 19, 1 << 24, 1024
 #: A text is frequent if it stands on this share of its site's pages, or of all pages, and on two pages at least.
 ON_SITE, ANYWHERE = 0.03, 0.004
 
@@ -41,6 +41,8 @@ TASK_BITS = {"Primary": 1, "Heading": 2, "Title": 4, "Paragraph": 8, "Table": 16
 
 #: Runs of blanks and line feeds other than a single space.
 RAGGED_LINES = RAGGED.replace("\\t", "\\t\\n")
+#: A blank other than a space: the second branch of these without the run behind it.
+RARE_BLANK = RAGGED_LINES[RAGGED_LINES.index("|") + 1 : RAGGED_LINES.index(")")]
 
 NUMBERS = ("k", "length", "words", "ending", "first", "digits", "shape", "start", "titled", "punct", "letters")
 
@@ -54,14 +56,19 @@ def _class(c: Column) -> Column:
 def _nodes(textnodes: DataFrame) -> DataFrame:
     text = F.btrim(F.coalesce(F.col("Text"), F.lit("")), F.lit("\r\n\t\xa0 "))
     low = F.lower(text)
-    undigited = F.regexp_replace(low, "[0-9]+", "0")
-    folded = F.regexp_replace(undigited, RAGGED_LINES, " ")
+    # most texts have no digits, and no blanks but single spaces
+    undigited = F.when(low.rlike("[0-9]"), F.regexp_replace(low, "[0-9]+", "0")).otherwise(low)
+    folded = F.when(F.contains(low, F.lit("  ")) | low.rlike(RARE_BLANK), F.regexp_replace(undigited, RAGGED_LINES, " ")).otherwise(undigited)
     shape = F.regexp_replace(F.regexp_replace(F.substring(text, 1, 40), "\\p{Lu}\\p{L}*", "A"), "\\p{Ll}+", "a")
-    path = F.regexp_replace(F.lower(F.substring_index(F.col("Url"), "/", -2)), "[^a-z0-9]+", "-")
+    tail = F.lower(F.substring_index(F.col("Url"), "/", -2))
+    path = F.regexp_replace(tail, "[^a-z0-9]+", "-")
     slug = F.substring(F.btrim(F.regexp_replace(F.substring(low, 1, 60), "[^a-z0-9]+", "-"), F.lit("-")), 1, 16)
-    titled = F.when(F.length(text) >= 8, F.when(F.length(slug) >= 8, (F.instr(path, slug) > 0).cast("int")).otherwise(0)).otherwise(0)
-    # most scripts have cases, and only texts without any need the look for letters
-    letters = F.when(low != F.upper(text), 1).otherwise(text.rlike("\\p{L}").cast("int"))
+    # a slug in the path starts there as the text does, or the text starts with other than letters a to z and digits
+    start = F.substring(low, 1, 3)
+    may = F.contains(tail, start) | start.rlike("[^a-z0-9]")
+    titled = F.when((F.length(text) >= 8) & may, F.when(F.length(slug) >= 8, (F.instr(path, slug) > 0).cast("int")).otherwise(0)).otherwise(0)
+    # numerals and signs with cases count as letters, but few texts have no other
+    letters = F.when(text.rlike("\\p{L}"), 1).otherwise((low != F.upper(text)).cast("int"))
     return textnodes.where("Url IS NOT NULL AND TextNodeId IS NOT NULL").select(
         F.col("Url").alias("url"),
         F.col("TextNodeId").alias("id"),
@@ -76,7 +83,7 @@ def _nodes(textnodes: DataFrame) -> DataFrame:
         F.xxhash64(F.substring(shape, 1, 24)).alias("shape"),
         F.xxhash64(F.substring(shape, 1, 8)).alias("start"),
         titled.alias("titled"),
-        (F.length(text) - F.length(F.translate(text, ".,;:!?…", ""))).alias("punct"),
+        F.regexp_count(text, F.lit("[.,;:!?…]")).alias("punct"),
         letters.alias("letters"),
         F.lit(0).alias("task"),
         F.lit(None).cast("int").alias("gold"),
@@ -91,7 +98,7 @@ def _marks(df: DataFrame, task: Column, gold: Column) -> DataFrame:
 
 def prepared(textnodes: DataFrame, predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """One row of numbers for each node of a page with its gaps, the model's tasks and the judgment, staged. A node stands in
-    its own block, with core set, and in those that it is near to.
+    its own block, with core set, and in those that it is near to; judged tells the blocks that have judgments of their own.
 
     Repeated rows fall together; ids without a text node are dropped; a judgment and its contrary leave none.
     """
@@ -108,8 +115,11 @@ def prepared(textnodes: DataFrame, predictions: DataFrame, gold: DataFrame) -> D
     order = Window.partitionBy("url", "block").orderBy("id")
     gap = lambda x: F.when(x <= NEAR, F.least(x, F.lit(8))).otherwise(0)
     merged = merged.withColumn("core", (F.floor(F.col("id") / BLOCK) == F.col("block")).cast("int"))
-    gaps = merged.where("node IS NOT NULL").withColumn("gap_before", gap(F.lead("id").over(order) - F.col("id")))
-    return stage(gaps.withColumn("gap_after", gap(F.col("id") - F.lag("id").over(order))), "nodes")
+    own = F.when((F.col("node") == 1) & (F.col("core") == 1), F.col("gold"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = merged.where("node IS NOT NULL").select("*", F.lead("id").over(order).alias("next"), F.lag("id").over(order).alias("last"), F.max(own).over(whole).alias("told"))
+    gaps = {"gap_before": gap(F.col("next") - F.col("id")), "gap_after": gap(F.col("id") - F.col("last")), "judged": F.col("told").isNotNull()}
+    return stage(seen.withColumns(gaps).drop("next", "last", "told"), "nodes")
 
 
 def with_counts(nodes: DataFrame) -> DataFrame:
@@ -259,28 +269,29 @@ _COLUMNS = (
 _FLOATS = ("site_share", "any_share", "text_ratio", "punct_ratio", "head", "head_score")
 
 
+def _numbered(t: pa.Table) -> np.ndarray:
+    """The number of the page (or page block) of each row of a sorted table."""
+    url, block = t["url"].combine_chunks().dictionary_encode(), t["block"].to_numpy()
+    key = url.indices.to_numpy() * (int(block.max()) + 1 if len(block) else 1) + block
+    return np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else key
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole pages (or page blocks) of a sorted partition, some thousand nodes at a time, with their page numbers."""
     held: list[pa.RecordBatch] = []
-
-    def numbered(t: pa.Table) -> np.ndarray:
-        url, block = t["url"].combine_chunks().dictionary_encode(), t["block"].to_numpy()
-        key = url.indices.to_numpy() * (int(block.max()) + 1 if len(block) else 1) + block
-        return np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else key
-
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         t = pa.Table.from_batches(held)
-        page = numbered(t)
+        page = _numbered(t)
         cut = int(np.searchsorted(page, page[-1], "left"))
         if cut:
             yield t.slice(0, cut), page[:cut]
             held = t.slice(cut).combine_chunks().to_batches()
     if held:
         t = pa.Table.from_batches(held)
-        yield t, numbered(t)
+        yield t, _numbered(t)
 
 
 def _arrays(t: pa.Table) -> dict[str, np.ndarray]:
@@ -291,18 +302,20 @@ def _sorted(nodes: DataFrame) -> DataFrame:
     return nodes.select("url", "block", *_COLUMNS).repartition("url", "block").sortWithinPartitions("url", "block", F.desc("id"))
 
 
-def _train(x: np.ndarray, y: np.ndarray, rounds: int = 8, step: float = 0.05, decay: float = 1e-5) -> np.ndarray:
-    """Weights of a logistic model by adaptive gradient steps over a fixed order of the sample."""
-    w, g2, rng = np.zeros(WIDTH), np.full(WIDTH, 1e-6), np.random.default_rng(0)
+def _train(x: np.ndarray, y: np.ndarray, rounds: int = 4, step: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, weight, rows that have it) of a logistic model by adaptive gradient steps over a fixed order of the rows."""
+    used, at, n = np.unique(x.ravel(), return_inverse=True, return_counts=True)
+    at, rng = at.reshape(x.shape), np.random.default_rng(0)
+    w, g2 = np.zeros(len(used)), np.full(len(used), 1e-6)
+    size = min(max(len(x) // 128, 16), 512)
     for _ in range(rounds):
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 128)):
-            z = w[x[rows]].sum(1)
-            g = 1 / (1 + np.exp(-z)) - y[rows]
-            used, inverse = np.unique(x[rows].ravel(), return_inverse=True)
-            s = np.bincount(inverse, np.repeat(g, x.shape[1])) + decay * len(rows) * w[used]
-            g2[used] += s * s
-            w[used] -= step * s / np.sqrt(g2[used])
-    return w
+        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // size)):
+            f = at[rows]
+            g = 1 / (1 + np.exp(-w[f].sum(1))) - y[rows]
+            s = np.bincount(f.ravel(), np.repeat(g, x.shape[1]), len(used)) + decay * len(rows) * w
+            g2 += s * s
+            w -= step * s / np.sqrt(g2)
+    return used, w, n
 
 
 @dataclass
@@ -314,43 +327,62 @@ class Fitted:
     weights: np.ndarray | None = None
 
 
-def _bounds(ratio: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The widest bounds beyond which hardly a judgment says the contrary."""
-    order = np.argsort(ratio, kind="stable")
-    r, body = ratio[order], y[order]
-    n = np.arange(1, len(r) + 1)
-    below = np.flatnonzero(np.cumsum(body) <= CONTRARY * n)
-    above = np.flatnonzero(np.cumsum(1 - body[::-1]) <= CONTRARY * n)
-    low = r[below[-1]] if len(below) and below[-1] >= 100 else -np.inf
-    high = r[::-1][above[-1]] if len(above) and above[-1] >= 100 else np.inf
-    return float(min(low, high)), float(high)
-
+def _steps(ratio: np.ndarray) -> np.ndarray:
+    return np.rint(ratio * STEPS).astype(np.int64)
 
-def fit(nodes: DataFrame) -> Fitted:
-    """Bounds and weights fitted on at most MAX_JUDGED_NODES judged nodes of at most MAX_JUDGED_PAGES pages, both chosen by
-    hashes. Without judgments the mean ratio of all nodes is the one bound."""
-    judged = nodes.where("gold IS NOT NULL").select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(MAX_JUDGED_PAGES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, page in _pages(batches):
-            a = _arrays(t)
-            x, smooth = features(a, page)
-            ok = (a["gold"] >= 0) & (a["node"] == 1) & (a["core"] == 1)
-            yield pa.record_batch(
-                [t["url"].combine_chunks().filter(pa.array(ok)), pa.array(a["id"][ok]), pa.array(a["gold"][ok]), pa.array(smooth[ok]), pa.array([r.tobytes() for r in x[ok]], pa.binary())],
-                ["url", "id", "y", "ratio", "x"],
-            )
-
-    rows = _sorted(nodes.join(F.broadcast(judged), "url")).mapInArrow(run, "url STRING, id BIGINT, y BIGINT, ratio DOUBLE, x BINARY")
-    sample = rows.orderBy(F.xxhash64("url", "id"), "url", "id").limit(MAX_JUDGED_NODES).toArrow()
-    if not sample.num_rows:
+def _bounds(ratio: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
+    """The widest bounds beyond which hardly a judgment says the contrary; of n judgments of each ratio, y name a body.
+    Judgments of one ratio count together, as a bound can't part them."""
+    n = np.ones(len(ratio), np.int64) if n is None else n
+    order = np.argsort(ratio, kind="stable")
+    r, body, n = ratio[order], y[order], n[order]
+
+    def widest(r: np.ndarray, contrary: np.ndarray, n: np.ndarray, none: float) -> float:
+        seen = np.cumsum(n)
+        ok = np.flatnonzero((np.cumsum(contrary) <= CONTRARY * seen) & (seen > 100) & np.append(r[1:] != r[:-1], True)) if len(r) else r
+        return float(r[ok[-1]]) if len(ok) else none
+
+    low, high = widest(r, body, n, -np.inf), widest(r[::-1], (n - body)[::-1], n[::-1], np.inf)
+    return min(low, high), high
+
+
+_COUNTED = "feature BOOLEAN, at INT, v BIGINT, n BIGINT"
+
+
+def _fit_group(t: pa.Table) -> pa.Table:
+    """The weights of one group's model, each times the nodes that have its feature, and the group's judgments by ratio."""
+    t = t.sort_by([("url", "ascending"), ("block", "ascending"), ("id", "descending")])
+    a = _arrays(t)
+    x, smooth = features(a, _numbered(t))
+    ok = np.flatnonzero((a["gold"] >= 0) & (a["node"] == 1) & (a["core"] == 1))
+    # the same order however the pages are cut into blocks
+    ok = ok[np.lexsort((a["id"][ok], t["url"].combine_chunks().dictionary_encode().indices.to_numpy()[ok]))]
+    y = a["gold"][ok]
+    used, w, n = _train(x[ok], y.astype(float))
+    ratio, at, judged = np.unique(_steps(smooth[ok]), return_inverse=True, return_counts=True)
+    body = np.bincount(at, y, len(ratio)).astype(np.int64)
+    cols = [np.arange(len(used) + len(ratio)) < len(used), np.concatenate([used, ratio]).astype(np.int32), np.concatenate([np.rint(w * UNIT).astype(np.int64) * n, body]), np.concatenate([n, judged])]
+    return pa.table([pa.array(c) for c in cols], [c.split()[0] for c in _COUNTED.split(", ")])
+
+
+def fit(nodes: DataFrame, judged: int) -> Fitted:
+    """Bounds and weights fitted on every judged node. The blocks of pages with judgments, which hold so many nodes, are dealt
+    out by hashes to groups of bounded size; a weight is its mean over the nodes that have its feature, and a bound is told
+    by the counts of all judgments. Sums are of whole numbers, so their order does not matter. Without judgments the mean
+    ratio of all nodes is the one bound."""
+    if not judged:
         fused = F.when(F.col("often") == 1, 0.0).otherwise(F.col("text_ratio") * F.col("punct_ratio") + 0.5 * F.log1p("length"))
         mean = nodes.where("core = 1").agg(F.coalesce(F.avg(fused), F.lit(0.0))).first()[0]
         return Fitted(mean, mean)
-    sample = sample.sort_by([("url", "ascending"), ("id", "ascending")])
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.int32).reshape(sample.num_rows, -1)
-    y = sample["y"].to_numpy().astype(float)
-    return Fitted(*_bounds(sample["ratio"].to_numpy(), y), _train(x, y).astype(np.float32))
+    rows = nodes.where("judged").select("url", "block", *_COLUMNS, F.pmod(F.xxhash64("url", "block"), F.lit(-(-judged // GROUP))).alias("part"))
+    counted = rows.groupBy("part").applyInArrow(_fit_group, _COUNTED)
+    # as many rows at most as there are features and steps of the ratio
+    total = counted.groupBy("feature", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
+    feature, at, v, n = (total[c].to_numpy() for c in ("feature", "at", "v", "n"))
+    weights = np.zeros(WIDTH, np.float32)
+    weights[at[feature]] = v[feature] / n[feature] / UNIT
+    return Fitted(*_bounds(at[~feature] / STEPS, v[~feature], n[~feature]), weights)
 
 
 def scored_nodes(textnodes: DataFrame, predictions: DataFrame, gold: DataFrame) -> DataFrame:
@@ -360,8 +392,9 @@ def scored_nodes(textnodes: DataFrame, predictions: DataFrame, gold: DataFrame)
     Null urls, ids and texts have no row; blank texts are nodes of length zero; without judgments the smoothed
     path ratio alone decides, against its mean over all nodes.
     """
-    nodes = with_counts(prepared(textnodes, predictions, gold))
-    fitted = nodes.sparkSession.sparkContext.broadcast(fit(nodes))
+    seen = prepared(textnodes, predictions, gold)
+    nodes = with_counts(seen)
+    fitted = nodes.sparkSession.sparkContext.broadcast(fit(nodes, seen.where("judged").count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = fitted.value
@@ -369,8 +402,9 @@ def scored_nodes(textnodes: DataFrame, predictions: DataFrame, gold: DataFrame)
             a = _arrays(t)
             x, smooth = features(a, page)
             score = f.weights[x].sum(1).astype(np.float64) if f.weights is not None else smooth - f.high
-            decided = (smooth <= f.low) | (smooth >= f.high)
-            body = np.where(decided, smooth >= f.high, score > 0)
+            told = _steps(smooth) / STEPS if f.weights is not None else smooth
+            decided = (told <= f.low) | (told >= f.high)
+            body = np.where(decided, told >= f.high, score > 0)
             ok = (a["node"] == 1) & (a["core"] == 1)
             cols = (pa.array(a["id"][ok].astype(np.int32)), pa.array(smooth[ok]), pa.array(decided[ok]), pa.array(score[ok]), pa.array(body[ok]))
             yield pa.record_batch([t["url"].combine_chunks().filter(pa.array(ok)), *cols], ["url", "node_id", "ratio", "by_ratio", "score", "is_body"])

@@ -82,3 +82,29 @@ def test_bounds():
     low, high = body._bounds(np.arange(1200.0), y)
     assert 480 <= low <= 520 and 680 <= high <= 720
     assert body._bounds(np.arange(10.0), np.ones(10)) == (-np.inf, np.inf)
+
+
+def test_every_judgment_counts(spark, monkeypatch):
+    """What only a few of many judged pages show is learned, in whichever group of pages they are."""
+    urls = spark.range(1700).select(F.format_string("http://s%d.example/p", "id").alias("Url"))
+    urls = [r.Url for r in urls.orderBy(F.xxhash64("Url"), "Url").collect()]
+    late = set(urls[1500:])  # a sample of 1,500 pages by hash holds none of them
+    rows, gold = [], []
+    for u in [*urls, "http://new.example/p"]:
+        text = "7 # 7" if u in late or u.startswith("http://new") else f"Of {u[8:-10]} and no more"
+        rows += [(u, 30, text, "x", 1, 1), (u, 20, "Home", "x", 1, 1)]
+        if u in urls:
+            gold += [(u, 30, "t", u in late), (u, 20, "t", False)]
+    args = [spark.createDataFrame(rows, T), spark.createDataFrame([], P), spark.createDataFrame(gold, G)]
+    for size in (65_536, 1000):
+        monkeypatch.setattr(body, "GROUP", size, raising=False)
+        got = {(r.url, r.node_id): r.is_body for r in scored_nodes(*args).collect()}
+        assert got["http://new.example/p", 30] and not got["http://new.example/p", 20]
+        assert all(got[u, 30] == (u in late) for u in urls)
+
+
+def test_ties_are_not_parted():
+    """Judgments of one ratio set a bound together, in whatever order they come."""
+    for y in ([0] * 300 + [1] * 30, [1] * 30 + [0] * 300):
+        assert body._bounds(np.zeros(330), np.array(y)) == (-np.inf, np.inf)
+    assert body._bounds(np.array([2.0, 0.0]), np.array([500, 3]), np.array([500, 400])) == (0.0, 2.0)
