@@ -39,7 +39,7 @@ def shingles(words: list[str], size: int = SHINGLE) -> np.ndarray:
     size = min(size, len(words))
     if not size:
         return np.zeros(0, np.int64)
-    word, h = np.array(list(map(_known.__getitem__, words)), np.uint64), np.zeros(len(words) - size + 1, np.uint64)
+    word, h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)), np.zeros(len(words) - size + 1, np.uint64)
     for i in range(size):
         h = (h ^ word[i : i + len(h)]) * _M
         h ^= h >> _S
@@ -55,10 +55,15 @@ def simhash(sorted_hashes: np.ndarray) -> int:
     return int(np.packbits(bits.sum(0) * 2 > len(sorted_hashes)).view(np.int64)[0])
 
 
-def prefix(sorted_hashes: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+def first(sorted_hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """The first hashes, one of which every set of that similarity holds among its own first."""
     n = len(sorted_hashes)
-    return sorted_hashes[: n - math.ceil(similarity * n - _SLACK) + 1].tolist() if n else []
+    return sorted_hashes[: n - math.ceil(similarity * n - _SLACK) + 1] if n else sorted_hashes
+
+
+def prefix(sorted_hashes: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """first as a list."""
+    return first(sorted_hashes, similarity).tolist()
 
 
 def _entries(nodes: DataFrame, bits: int) -> DataFrame:

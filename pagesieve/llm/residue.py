@@ -17,12 +17,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.neardup import prefix, reached, shingles, simhash
+from pagesieve.llm.neardup import first, reached, shingles, simhash
 from pagesieve.llm.pagestats import ALL_COMMON, Line, prose_flags
 from pagesieve.session import keyed_join, stage
 
@@ -73,12 +74,15 @@ CHROME = re.compile(r"[|·›»/–]\s|©|\bcopyright\b|all rights reserved|alle
 
 _field, _signs = re.compile(FIELD), re.compile(SIGNS, re.I)
 _opens, _status = re.compile(r"[{%*\[<_@|~]"), re.compile(r"[45]\d\d")
+_OPENS = "{%*[<_@|~"
 _quoted = re.compile(r"[“\"«„‘'][^”\"»“’']{1,60}[”\"»“’']")
 _same = re.compile(r"\W*(\w+)(?:\W+\1){2,}\W*", re.I)
 _unit = re.compile(r"(?<=[.!?…])[”\"»]?\s+")
 # what stands between blanks and holds a number or a path is one word, else words are runs of letters
 _number = re.compile(r"[\d/\\@]")
-_loose = re.compile(r"(?<!\S)\S*[\d/\\@]\S*|\w+|[{}]+|\n")
+_LOWER = "(?>[a-zß-öø-ÿа-џ]+)"
+# and words in small letters between single blanks come in one piece, behind the last of which there is no number or path
+_loose = re.compile(rf"(?<!\S){_LOWER}(?: {_LOWER})*(?=[.,;:!?…)”’\"»]*+(?!\S))|(?<!\S)[^\s\d/\\@]*+[\d/\\@]\S*|\w+|[{{}}]+|\n")
 _token = re.compile(r"[^\W\d_]+")
 _ENDS = frozenset(".!?…")
 _hints = ahocorasick.Automaton()
@@ -104,9 +108,11 @@ def filler(words: list[str], least: int = 3) -> bool:
     return len(set(seen)) >= min(least, 3) and sum(w in ALL_COMMON for w in rest) * 10 <= len(words)
 
 
-def _hinted(text: str) -> bool:
-    """Whether a sign may stand in the text: every sign has an opening mark, a status number or a hint."""
-    return bool(_opens.search(text) or _status.search(text)) or next(_hints.iter(text.lower()), None) is not None
+def _hinted(text: str, low: str) -> bool:
+    """Whether a sign may stand in the text, given in small letters too: every sign has an opening mark, a status number or a hint."""
+    if any(map(text.__contains__, _OPENS)) or ("4" in text or "5" in text) and _status.search(text):
+        return True
+    return next(_hints.iter(low), None) is not None
 
 
 def is_residue(unit: str) -> bool:
@@ -138,7 +144,10 @@ def _masked(units: list[str]) -> list[list[str]]:
     out: list[list[str]] = [[]]
     got, at, start, last = out[0], 0, True, len(words) - 1
     for i, w in enumerate(words):
-        if not w.isalpha():
+        if " " in w:
+            got += w.split(" ")
+            start = False
+        elif not w.isalpha():
             if w == "\n":
                 got, at, start = [], at + 1, True
                 out.append(got)
@@ -175,12 +184,14 @@ def _prose(lines: list[str], signed: set[int]) -> list[bool]:
     return flags + [False] * (len(lines) - len(flags))
 
 
-def look(text: str) -> Look:
+def look(text: str, prose: bool = True) -> Look:
     """The passages of a whole text but for its menu and footer lines. A filler line, a sentence that fills half of the document
-    by three copies or more, and a stack trace are marked like signs; a copy of a sentence is no prose of its own."""
+    by three copies or more, and a stack trace are marked like signs; a copy of a sentence is no prose of its own. Without prose, no passage of a text that
+    has no mark is called prose."""
     lines = [x for x in map(str.strip, text.split("\n")) if x]
-    hinted = _hinted(text)
-    filling = next(_fillers.iter(text.lower()), None) is not None
+    whole = text.lower()
+    hinted = _hinted(text, whole)
+    filling = next(_fillers.iter(whole), None) is not None
     units: list[str] = []
     facts: list[list] = []  # line, signed, whether a trace
     chrome: list[str] = []
@@ -206,22 +217,23 @@ def look(text: str) -> Look:
             marks = [False] * len(parts)
         units += parts
         facts += [[at, mark, trace] for mark in marks]
-    seen = Counter(map(str.lower, units))
+    lows = list(map(str.lower, units))
+    seen = Counter(lows)
     if units and len(seen) * 2 < len(units) + 2:
         most = max(seen, key=lambda u: (seen[u], u))
         if seen[most] >= 3 and seen[most] * len(most) * 2 >= sum(map(len, units)):
-            for u, f in zip(units, facts, strict=True):
-                f[1] |= u.lower() == most
+            for u, f in zip(lows, facts, strict=True):
+                f[1] |= u == most
     if sum(f[2] for f in facts) >= 2:
         for f in facts:
             f[1] |= f[2]
     words = _masked(units or chrome)
     got = Look([w for u in words for w in u])
     if units:
-        flags = _prose(lines, {f[0] for f in facts if f[1]})
+        signs = {f[0] for f in facts if f[1]}
+        flags = _prose(lines, signs) if prose or signs else [False] * len(lines)
         first: set[str] = set()
-        for u, w, (at, mark, _) in zip(units, words, facts, strict=True):
-            low = u.lower()
+        for low, w, (at, mark, _) in zip(lows, words, facts, strict=True):
             got.passages.append((" ".join(w), max(1, len(w)), mark, flags[at] and low not in first))
             first.add(low)
         places = list(dict.fromkeys(f[0] for f in facts))[:2]
@@ -236,19 +248,33 @@ def _digest(text: str) -> int:
 _LOOKED = "doc_id BIGINT, class_id BIGINT, sim BIGINT, n INT, keys ARRAY<BIGINT>, p ARRAY<BIGINT>, size ARRAY<INT>, signed ARRAY<BOOLEAN>, prose ARRAY<BOOLEAN>, leads BOOLEAN"
 
 
+def _lists(sizes: list[int], flat: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), flat)
+
+
 def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.bool_())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
     names = [x.split()[0] for x in _LOOKED.split(", ")]
     for batch in batches:
-        rows = []
+        rows: list[tuple] = []
+        keys: list[np.ndarray] = []
+        passages: list[tuple[str, int, bool, bool]] = []
+        many: list[int] = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = look(text)
+            # what is prose in a text without a sign matters only where its passages turn out to be residue
+            got = look(text, False)
             if got.words:
                 s = shingles(got.words)
-                ps = got.passages
-                rows.append((i, _digest(" ".join(got.words)), simhash(s), len(s), prefix(s), [_digest(p) for p, *_ in ps], [n for _, n, _, _ in ps], [m for *_, m, _ in ps], [x for *_, x in ps], got.leads))
-        cols = zip(*rows, strict=True) if rows else [()] * len(names)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                rows.append((i, _digest(" ".join(got.words)), simhash(s), len(s), got.leads))
+                keys.append(first(s))
+                passages += got.passages
+                many.append(len(got.passages))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+        *one, leads = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+        p, size, signed, prose = zip(*passages, strict=True) if passages else [()] * 4
+        flat = (pa.array(list(map(_digest, p)), pa.int64()), pa.array(size, pa.int32()), pa.array(signed, pa.bool_()), pa.array(prose, pa.bool_()))
+        at = _lists(list(map(len, keys)), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        yield pa.record_batch([*one, at, *(_lists(many, x) for x in flat), leads], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +284,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([ids, pa.array([shingles(w).tolist() for w in words], pa.list_(pa.int64()))], ["id", "shingles"])
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = [look(t) for t in batch.column(0).to_pylist()]
+        ids = pa.array([_digest(" ".join(x.words)) for x in seen], pa.int64())
+        p = pa.array([[_digest(x) for x, *_ in s.passages] for s in seen], pa.list_(pa.int64()))
+        yield pa.record_batch([ids, p, pa.array([[x for *_, x in s.passages] for s in seen], pa.list_(pa.bool_()))], ["class_id", "p", "prose"])
+
+
 def _total(keep: Callable[[Column], Column], trusted: Column | None = None) -> Column:
     """Words of those passages of a text that are kept, by their flags t (trusted), m (signed) and x (prose)."""
     zipped = F.arrays_zip(F.col("size").alias("n"), (F.col("signed") if trusted is None else trusted).alias("t"), F.col("signed").alias("m"), F.col("prose").alias("x"))
@@ -274,9 +308,10 @@ def _residue(trusted: Column | None = None) -> Column:
     return _led(trusted) & (_total(lambda z: z["x"] & ~z["t"], trusted) < FULL_TEXT) & (_total(lambda z: z["x"] & ~z["m"]) < LONG_TEXT)
 
 
-def _classes(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, labels): one row for each masked text, and those that passages alone make residue, with how."""
-    classes = stage(looked.dropDuplicates(["class_id"]).drop("doc_id").withColumn("led", _led()).withColumn("sure", _residue()), "classes")
+def _classes(looked: DataFrame, parsed: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(classes, labels): one row for each masked text, and those that passages alone make residue, with how. parsed gives
+    (class_id, p, prose) of the texts of some documents, for a frame of their ids and its bytes."""
+    classes = stage(looked.dropDuplicates(["class_id"]).withColumn("led", _led()).withColumn("sure", _residue()), "classes")
     labels = classes.where("sure").select("class_id", F.lit("signs").alias("how"))
     spread = F.col("class_id")
     every = classes.select("class_id", F.explode(F.array_distinct("p")).alias("p"))
@@ -289,7 +324,14 @@ def _classes(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
         hits = keyed_join(every, sure, ["p"], sure.count() * 16, spread).groupBy("class_id").agg(F.collect_set("p").alias("ps"))
         rest = classes.where("NOT sure").join(hits, "class_id").join(labels.select("class_id"), "class_id", "left_anti")
         known = F.zip_with("signed", F.transform("p", lambda x: F.array_contains("ps", x)), lambda a, b: a | b)
-        more = stage(rest.where(_residue(known)).select("class_id", "p", "led"), "more")
+        may = stage(rest.withColumn("known", known).drop("ps").where(_led(F.col("known"))), "may")
+        marked = F.exists("signed", lambda x: x)
+        bare = may.where(~marked)
+        n = bare.count()
+        if n:
+            told = bare.drop("prose").join(parsed(bare.select("doc_id"), n * 16), ["class_id", "p"])
+            may = may.where(marked).unionByName(told)
+        more = stage(may.where(_residue(F.col("known"))).select("class_id", "p", "led"), "more")
         if not more.count():
             return classes, labels
         labels = stage(labels.unionByName(more.select("class_id", F.lit("passages").alias("how"))), "labels")
@@ -306,7 +348,14 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     """
     texts = documents.where("text IS NOT NULL").select("doc_id", "text")
     looked = stage(texts.mapInArrow(_looked, _LOOKED), "looked")
-    classes, labels = _classes(looked)
+
+    def parsed(ids: DataFrame, size: int) -> DataFrame:
+        """Prose of some documents, read again; what else a key brings along has other passages or comes twice."""
+        key = F.coalesce("doc_id", F.lit(0)).alias("key")
+        found = keyed_join(texts.select(key, "text"), ids.select(key).distinct(), ["key"], size, F.xxhash64("text"))
+        return found.select("text").mapInArrow(_parsed, "class_id BIGINT, p ARRAY<BIGINT>, prose ARRAY<BOOLEAN>").dropDuplicates(["class_id", "p"])
+
+    classes, labels = _classes(looked, parsed)
     nodes = classes.select(F.col("class_id").alias("id"), "sim", "n", "keys")
 
     def sets(ids: DataFrame, size: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagesieve import session
 from pagesieve.llm.neardup import prefix, reached, shingles, simhash
-from pagesieve.llm.residue import is_residue, look, residue_documents, without_residue
+from pagesieve.llm.residue import _loose, is_residue, look, residue_documents, without_residue
 
 PROSE = (
     "The old house stood near the river and nobody lived there. It was a cold day, and the people of the town stayed at home with their dogs. "
@@ -112,3 +113,25 @@ def test_shingles():
     assert len(shingles(words)) == 7 and len(shingles(words[:3])) == 1 and len(shingles([])) == 0
     assert set(shingles(words[:6]).tolist()) < set(shingles(words).tolist())
     assert len(prefix(shingles(words))) == 2 and len(prefix(np.arange(10))) == 3
+
+
+def test_words_come_in_few_pieces():
+    """Words in small letters are taken in runs, and the words are those of a look at each word by itself."""
+    plain = re.compile(r"(?<!\S)\S*[\d/\\@]\S*|\w+|[{}]+|\n")
+    assert len(_loose.findall("the old house stood near the river, and nobody lived there.")) == 2
+    rng = random.Random(3)
+    parts = ["the", "old ", " ", "  ", "\n", "\xa0", "é", "ß", "ж", "A", "Ünter ", "4", "/", "@", "\\", ".", ", ", "!” ", "don't", "a-b", "_", "{", "}}", "ª", "é", "漢"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=12))
+        assert [w for x in _loose.findall(text) for w in (x.split(" ") if " " in x else [x])] == plain.findall(text), text
+
+
+def test_prose_is_looked_for_where_it_matters(spark):
+    """Without a sign a text's prose is left for later, and found once its passages turn out to be residue, whatever its id."""
+    assert any(x for *_, x in look(PROSE).passages) and not any(x for *_, x in look(PROSE, False).passages)
+    assert look(PROSE + "\n404 – Page not found", False) == look(PROSE + "\n404 – Page not found")
+    regret = "We are so sorry that the thing you came for is not here. Our people know about it and work on it at this hour. You can go back to where you were. Or come again when the sun is up."
+    rows = [(i, f"502 Bad Gateway\nBig thing {'x' * i} error 500\n{regret}") for i in range(30)]
+    rows += [(None, regret), (None, PROSE), (0, regret + "\n" + PROSE)]
+    got = residue_documents(docs(spark, rows)).select("doc_id").collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted([*map(str, range(30)), "None"])
